@@ -138,8 +138,8 @@ def test_links_when_buckets_are_divided(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62)
     fps = sorted({int(base) ^ sum(1 << int(b) for b in rng.choice(20, rng.integers(0, 7), replace=False)) for _ in range(300)} | {int(x) for x in rng.integers(0, 1 << 62, 50)})
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    roots = {r.node: r.root for r in connected_components(simhash.near_links(df, 3, bucket=40)).collect()}
+    df = spark.createDataFrame([(f,) for f in fps], "w0 long")
+    roots = {r.node: r.root for r in connected_components(simhash.near_links(df, ["w0"], 3, bucket=40)).collect()}
     want = brute_components([(f, f) for f in fps])
     assert [roots.get(f, f) for f in fps] == want
 
