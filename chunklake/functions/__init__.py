@@ -1 +1 @@
-
+"""Column functions: paths, sizes, times, codecs, chunking."""
