@@ -8,6 +8,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 STORE, ZSTD = 0, 1
 
@@ -20,7 +21,7 @@ def content_hash(content: Column) -> Column:
 def compressor(level: int = 3):
     """A pandas UDF: bytes to a zstd frame."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BinaryType())
     def compress(content: pd.Series) -> pd.Series:
         made = zstandard.ZstdCompressor(level=max(level, 1))
         return content.map(lambda b: None if b is None else made.compress(bytes(b)))
@@ -28,7 +29,7 @@ def compressor(level: int = 3):
     return compress
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def decompress(frame: pd.Series) -> pd.Series:
     made = zstandard.ZstdDecompressor()
     return frame.map(lambda b: None if b is None else made.decompressobj().decompress(bytes(b)))

@@ -126,11 +126,11 @@ def range_locate(spark, sf):
     return hit.select("archive_id", "path", "ordinal", F.col("skip").cast("long").alias("skip"), F.col("take").cast("long").alias("take"))
 
 
-@query(f"""WITH {FILES_SQL} SELECT archive_id, path, sha256(substr(encode(text), 101, 300)) AS part FROM files WHERE octet_length(encode(text)) > 100""")
+@query(f"""WITH {FILES_SQL} SELECT archive_id, path, substr(hex(encode(text)), 201, 600) AS part FROM files WHERE octet_length(encode(text)) > 100""")
 def range_bytes(spark, sf):
     """300 bytes from byte 100 of every file."""
     f = rel.files(spark, sf).where("u_size > 100")
-    return f.select("archive_id", "path", F.sha2(F.substring(F.col("text").cast("binary"), 101, 300), 256).alias("part"))
+    return f.select("archive_id", "path", F.hex(F.substring(F.col("text").cast("binary"), 101, 300)).alias("part"))
 
 
 @query(f"""WITH {FILES_SQL}, h AS (SELECT archive_id, sha256(text) AS hash, max(u_size) AS u FROM files GROUP BY 1, 2),
@@ -186,7 +186,7 @@ def search_substring(spark, sf):
 def page(spark, sf):
     """The second page of 100 with the total before paging."""
     f = rel.files(spark, sf).select("path", "u_size")
-    return catalog.page(f, [F.col("path")], 100, 100).withColumn("total", F.lit(f.count()))
+    return catalog.page(f, [F.col("path")], 100, 100).withColumn("total", F.lit(f.count()).cast("long"))
 
 
 @query(f"WITH {FILES_SQL} SELECT archive_id, path, mtime FROM files ORDER BY mtime DESC, archive_id, path LIMIT 4")

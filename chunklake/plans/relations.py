@@ -25,7 +25,7 @@ CHUNKS_SQL = """chunks AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) * 1000
 #: journal: users are paths; signup and purchase put, error deletes, click renames to a fresh path, view is a note.
 JOURNAL_SQL = """journal AS (SELECT event_id AS seq, 'u' || user_id AS path, CAST(round(value * 100) AS BIGINT) AS size,
   CASE event_type WHEN 'signup' THEN 'put' WHEN 'purchase' THEN 'put' WHEN 'error' THEN 'rm' WHEN 'click' THEN 'mv' ELSE 'note' END AS op,
-  CASE WHEN event_type = 'click' THEN 'u' || user_id || '@' || event_id END AS dst, CAST(epoch(ts) AS BIGINT) AS mtime FROM events)"""
+  CASE WHEN event_type = 'click' THEN 'u' || user_id || '@' || event_id END AS dst, CAST(floor(epoch(ts)) AS BIGINT) AS mtime FROM events)"""
 #: In this journal a rename's source is live exactly if the path's last record before it is a put.
 LIVE_SQL = """acts AS (SELECT *, lag(op) OVER w AS op_before, lag(size) OVER w AS size_before, lag(mtime) OVER w AS mtime_before, lag(seq) OVER w AS seq_before,
     lead(op) OVER w AS op_after FROM journal WHERE op <> 'note' WINDOW w AS (PARTITION BY path ORDER BY seq)),
