@@ -30,8 +30,9 @@ class ArchiveStore:
 
     def journal(self, schema: str) -> tuple[DataFrame, DataFrame]:
         """(good records, quarantined lines): a line that isn't a record is kept aside, not lost."""
-        raw = self.spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(f"{self.root}/journal")
-        return raw.where("_bad IS NULL").drop("_bad"), raw.where("_bad IS NOT NULL").select("_bad")
+        lines = self.spark.read.text(f"{self.root}/journal")
+        parsed = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+        return parsed.where("r._bad IS NULL").select("r.*").drop("_bad"), parsed.where("r._bad IS NOT NULL").select("value")
 
     def labels(self) -> DataFrame:
         """archive_id, label, updated_at from the JSON sidecars; one that can't be parsed gives nulls."""

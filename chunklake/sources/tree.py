@@ -13,17 +13,28 @@ from chunklake.functions.scalars import is_safe_to_extract
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """files(path, mode, mtime, u_size, content) below root, paths relative to it. Links aren't followed beyond Spark's reader."""
+    """files(path, mode, mtime, u_size, content) below root, paths relative to it. Links aren't followed beyond Spark's reader.
+
+    Spark's readers skip empty files, so those come from the file system's listing on the driver, as file listings do anyway.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    found = raw.select("path", F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("u_size"), "content")
+    empty = spark.createDataFrame(_empty_files(spark, root), "path string, mtime long")
+    every = found.unionByName(empty.withColumns({"u_size": F.lit(0).cast("long"), "content": F.lit(b"")}))
     plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
     top = root.split("://", 1)[-1].rstrip("/") + "/"
-    return raw.select(
-        F.substr(plain, F.instr(plain, top) + len(top)).alias("path"),
-        F.lit(0o100644).cast("long").alias("mode"),
-        F.unix_timestamp("modificationTime").alias("mtime"),
-        F.col("length").alias("u_size"),
-        "content",
-    )
+    return every.select(F.substr(plain, F.instr(plain, top) + len(top)).alias("path"), F.lit(0o100644).cast("long").alias("mode"), "mtime", "u_size", "content")
+
+
+def _empty_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listed = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
+    out = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            out.append((status.getPath().toString(), status.getModificationTime() // 1000))
+    return out
 
 
 def dirs_of(files: DataFrame) -> DataFrame:
