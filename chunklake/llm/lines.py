@@ -77,7 +77,7 @@ def repeated_units(docs: DataFrame, min_words: int = 10) -> DataFrame:
 
     Units are lines, and sentences within lines. Digests are grouped globally; of each repeated unit the occurrence
     with the smallest (doc_id, position) stays and the others go, if they stand in a run of consecutive
-    repeated units of at least ``min_words`` words: a passage goes with its short sentences, a lone short one stays.
+    later occurrences of at least ``min_words`` words: a passage goes with its short sentences, a lone short one stays.
 
     Counting is a map-side combined aggregate and the way back is a join on the digest that can be split, so a line that a
     third of all texts share is no hot task. Nulls: a null, empty or wordless text has no units. Repeated rows:
@@ -87,9 +87,9 @@ def repeated_units(docs: DataFrame, min_words: int = 10) -> DataFrame:
     found = materialize(units(docs), "units")
     counted = found.groupBy("d1", "d2").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "unit", "start")).alias("_first")).where("_n > 1")
     shared = found.join(counted, ["d1", "d2"])
+    later = shared.where((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("unit") != F.col("_first.unit"))).dropDuplicates(["doc_id", "unit", "d1", "d2"])
     place = Window.partitionBy("doc_id").orderBy("unit")
-    islands = shared.dropDuplicates(["doc_id", "unit", "d1", "d2"]).withColumn("_island", F.col("unit") - F.dense_rank().over(place))
+    islands = later.withColumn("_island", F.col("unit") - F.dense_rank().over(place))
     in_run = F.sum("words").over(Window.partitionBy("doc_id", "_island"))
-    later = ~((F.col("doc_id") == F.col("_first.doc_id")) & (F.col("unit") == F.col("_first.unit")))
-    gone = islands.withColumn("_run", in_run).where((F.col("_run") >= min_words) & later)
+    gone = islands.withColumn("_run", in_run).where(F.col("_run") >= min_words)
     return gone.select("doc_id", "start", "end", F.col("words").alias("n_words"), F.col("_first.doc_id").alias("first_doc_id"), F.col("_first.start").alias("first_start"))
