@@ -88,7 +88,7 @@ def repeated_units(docs: DataFrame, min_words: int = 10) -> DataFrame:
     counted = found.groupBy("d1", "d2").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "unit", "start")).alias("_first")).where("_n > 1")
     counted = materialize(counted, "unit-counts")  # read as a table, it leaves the join below free to split hot digests
     shared = found.join(counted, ["d1", "d2"])
-    later = shared.where((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("unit") != F.col("_first.unit"))).dropDuplicates(["doc_id", "unit", "d1", "d2"])
+    later = shared.where((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("unit") != F.col("_first.unit"))).repartition("doc_id").dropDuplicates(["doc_id", "unit", "d1", "d2"])
     place = Window.partitionBy("doc_id").orderBy("unit")
     islands = later.withColumn("_island", F.col("unit") - F.dense_rank().over(place))
     in_run = F.sum("words").over(Window.partitionBy("doc_id", "_island"))
