@@ -16,6 +16,8 @@ from chunklake.session import materialize
 
 #: Distinct fingerprints that one task compares with each other; larger buckets are divided further.
 BUCKET = 2048
+#: Levels of division that use masks of slices, if slices are asked for.
+SLICED = 3
 
 # XXH64's primes (fixed values).
 P1, P2, P3, P4, P5 = (
@@ -155,18 +157,17 @@ def covering_masks(radius: int, level: int = 0, positions: range = range(64)) ->
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def first_masks(radius: int, parts: int) -> list[int]:
+def sliced_masks(radius: int, parts: int, level: int = 0) -> list[int]:
     """Masks of ``parts`` equal slices of the bits: of any ``radius`` bits one slice has radius // parts at most."""
     step = 64 // parts
-    return [m for p in range(parts) for m in covering_masks(radius // parts, p, range(p * step, (p + 1) * step))]
+    return [m for p in range(parts) for m in covering_masks(radius // parts, level * parts + p, range(p * step, (p + 1) * step))]
 
 
-def _close_in_buckets(bucket: np.ndarray, w: np.ndarray, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+def _close_in_buckets(bucket: np.ndarray, w: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (root, member) of a forest over the links within sorted buckets; w: a row of words per fingerprint."""
 
     def linked(p, q):
-        far = np.bitwise_count(w[p] ^ w[q]).astype(np.int16)
-        return (far.min(axis=-1) <= radius) & (far.sum(axis=-1) <= total)
+        return np.bitwise_count(w[p] ^ w[q]).sum(axis=-1, dtype=np.int16) <= total
 
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     sizes = np.diff(edges)
@@ -202,7 +203,7 @@ def _close_in_buckets(bucket: np.ndarray, w: np.ndarray, radius: int, total: int
     return label[member], member
 
 
-def _links(buckets: DataFrame, names: list[str], radius: int, total: int) -> DataFrame:
+def _links(buckets: DataFrame, names: list[str], total: int) -> DataFrame:
     """Compare the fingerprints of each bucket: edges as words u_*, v_*."""
     out_names = [f"{side}_{n}" for side in "uv" for n in names]
 
@@ -210,7 +211,7 @@ def _links(buckets: DataFrame, names: list[str], radius: int, total: int) -> Dat
         kept_b, kept_w = np.empty(0, np.int64), np.empty((0, len(names)), np.uint64)
 
         def out(b, w):
-            u, v = _close_in_buckets(b, w, radius, total)
+            u, v = _close_in_buckets(b, w, total)
             cols = [w[side, k].view(np.int64) for side in (u, v) for k in range(len(names))]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], out_names)
 
@@ -229,20 +230,23 @@ def _links(buckets: DataFrame, names: list[str], radius: int, total: int) -> Dat
     return buckets.repartition("bucket").sortWithinPartitions("bucket", *names).mapInArrow(run, schema)
 
 
-def near_links(prints: DataFrame, names: list[str], radius: int = 3, total: int | None = None, parts: int = 1, bucket: int = BUCKET) -> DataFrame:
+def near_links(prints: DataFrame, names: list[str], radius: int = 3, total: int | None = None, keyed: int | None = None, parts: int = 1, bucket: int = BUCKET) -> DataFrame:
     """Edges (u, v, of words' ids) that connect all distinct fingerprints of ``prints`` with a link.
 
-    Two fingerprints link if they differ in at most ``radius`` bits of some word of ``names``, and in at most ``total`` bits
-    of all words. Every fingerprint goes to one bucket per word and mask. With ``parts`` slices there are fewer masks
-    and larger buckets; the guarantee is the same. Buckets of one are dropped, buckets up to ``bucket`` are compared in tasks, and larger ones are divided
-    by the masks of the next level, which also bring every close pair together; each level fixes about half of the
-    free bits, so a bucket soon has fewer values than ``bucket``. An edge's ends are the id of node_id().
+    Two fingerprints link if they differ in at most ``total`` bits (``radius`` unless given) of all words of ``names`` together
+    and meet in a bucket. Every fingerprint goes to one bucket per mask and word, of the first ``keyed`` words; pairs that differ in at
+    most ``radius`` bits of some such word always meet, others by chance. With ``parts`` slices there are fewer masks and
+    larger buckets; the guarantee is the same. Buckets of one are dropped, buckets up to ``bucket`` are compared in
+    tasks, and larger ones are divided by the masks of the next level, which also bring every pair within the radius
+    together. Masks of slices come first, as they are few; from level SLICED on each mask spans the whole word, fixes about half of the
+    free bits, and so a bucket soon has fewer values than ``bucket``. An edge's ends are the id of node_id().
     """
-    total = 64 * len(names) if total is None else total
+    total = radius if total is None else total
+    keyed = len(names) if keyed is None else keyed
     level, found = 0, []
-    todo = prints.select(*names).distinct().withColumn("bucket", F.lit(0).cast("long")).withColumn("word", F.explode(F.array(*[F.lit(k) for k in range(len(names))])))
+    todo = prints.select(*names).distinct().withColumn("bucket", F.lit(0).cast("long")).withColumn("word", F.explode(F.array(*[F.lit(k) for k in range(keyed)])))
     while True:
-        made = first_masks(radius, parts) if level == 0 else covering_masks(radius, level)
+        made = sliced_masks(radius, parts, level) if level < SLICED else covering_masks(radius, level)
         masks = F.array(*[F.lit(m).cast("long") for m in made])
         dealt = todo.select("bucket", "word", *names, F.posexplode(masks).alias("_m", "_mask"))
         own = F.element_at(F.array(*names), F.col("word") + 1)
@@ -252,7 +256,7 @@ def near_links(prints: DataFrame, names: list[str], radius: int = 3, total: int
         shared = dealt.join(sizes, "bucket") if parts == 1 else dealt.join(over.select("bucket", "_n"), "bucket", "left")
         shared = materialize(shared, "simhash-buckets") if level or not over.isEmpty() else shared
         small = shared.where(F.coalesce("_n", F.lit(0)) <= bucket)
-        found.append(materialize(_links(small.select("bucket", *names), names, radius, total), "simhash-links"))
+        found.append(materialize(_links(small.select("bucket", *names), names, total), "simhash-links"))
         level += 1
         if over.isEmpty():
             break
@@ -293,14 +297,18 @@ def simhash_components(docs: DataFrame, radius: int = 3, words_in_shingle: int =
     return found.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, radius: int = 7, total: int = 24, count: int = 2, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, radius: int = 7, total: int = 43, count: int = 4, keyed: int = 3, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) of near copies by ``count`` fingerprints of 64 bits over shingles of five words.
 
-    A pair links if one fingerprint differs in at most ``radius`` bits, which the covering masks guarantee to find, and
-    all together in at most ``total`` of 128 bits: texts whose shingle sets have a Jaccard similarity of 0.8 differ in 19 on
-    average, those of 0.5 in 34. Rows as in simhash_components, but blank and null texts, which have no shingles, and rows with a null doc_id are left out.
+    A pair links if all fingerprints together differ in at most ``total`` of 64 * count bits: texts whose shingle sets have
+    a Jaccard similarity of 0.8 differ in 39 of 256 on average, those of 0.7 in 49. The first ``keyed`` fingerprints
+    go to buckets: pairs that differ in at most ``radius`` bits of one of them always meet, and nearly all other pairs
+    of 0.8 or more meet too, as each has three chances of 30 masks. Only pairs beyond the radius in an oversized
+    bucket, which is divided, meet less often.
+
+    Rows as in simhash_components, but blank and null texts, which have no shingles, and rows with a null doc_id are left out.
     """
     spoken = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     prints = materialize(fingerprints(spoken, words_in_shingle, 42, count), "near-prints")
-    found = _components(prints, [f"w{k}" for k in range(count)], radius=radius, total=total, parts=2, bucket=bucket)
+    found = _components(prints, [f"w{k}" for k in range(count)], radius=radius, total=total, keyed=keyed, parts=2, bucket=bucket)
     return found.select("doc_id", "component_id")

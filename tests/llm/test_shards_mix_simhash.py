@@ -144,6 +144,45 @@ def test_links_when_buckets_are_divided(spark):
     assert [roots.get(f, f) for f in fps] == want
 
 
+def edited(words, share, rng):
+    return " ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in words)
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 60])
+def test_near_copies_of_similarity_above_and_below(spark, bucket):
+    """Pairs of texts with a measured similarity; small buckets are divided level by level."""
+    rng = random.Random(11)
+    rows, pairs = [], {}
+    for k in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([120, 400, 900]))]
+        a, b = " ".join(words), edited(words, rng.choice([0.004, 0.01, 0.018, 0.12]), rng)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        pairs[k] = jaccard(a, b)
+    rows += [(1000, None), (1001, ""), (1002, " "), (None, rows[0][1]), (1003, rows[6][1]), (1003, rows[6][1])]
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(corpus(spark, rows), bucket=bucket).collect()]
+    of = dict(got)
+    assert len(got) == 242 and of[1003] == of[6] and not {1000, 1001, 1002, None} & set(of)
+    linked = {k for k in pairs if of[2 * k] == of[2 * k + 1] == 2 * k}
+    near = [k for k in pairs if pairs[k] >= 0.8]
+    assert len(near) > 60 and all(k in linked for k in pairs if pairs[k] >= 0.93)
+    assert sum(k in linked for k in near) >= (0.9 if bucket == simhash.BUCKET else 0.8) * len(near)
+    assert not any(k in linked for k in pairs if pairs[k] < 0.6)
+    assert all(of[d] in (d, d - 1) for d in range(240) if d % 2)
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_sliced_masks_cover_the_radius_at_every_level(parts):
+    rng = random.Random(2)
+    for level in range(3):
+        masks = simhash.sliced_masks(7, parts, level)
+        assert all(any(m & sum(1 << b for b in bits) == 0 for m in masks) for bits in (rng.sample(range(64), 7) for _ in range(1000)))
+
+
 def test_masks_cover_every_small_set_of_positions():
     rng = random.Random(0)
     for level in range(3):
