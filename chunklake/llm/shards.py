@@ -36,7 +36,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, whole: float = 0.01, id_co
     groups = materialize(rows.groupBy("_text").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     target = max(total / shards, 1.0)
-    large = groups.where((F.col("bytes") > whole * target) & ((F.col("bytes") <= target) | (F.col("n") == 1)))
+    is_large = (F.col("bytes") > whole * target) & ((F.col("bytes") <= target) | (F.col("n") == 1))
+    large = groups.where(is_large)
     fill, placed = [0] * shards, {}
     for key, size in sorted(((r["_text"], r["bytes"]) for r in large.select("_text", "bytes").collect()), key=lambda x: (-x[1], x[0])):
         least = min(range(shards), key=lambda s: (fill[s], s))
@@ -46,24 +47,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, whole: float = 0.01, id_co
     cuts = [round(rest * sum(room[:s]) / max(1, sum(room))) for s in range(1, shards)]
 
     split = (F.col("bytes") > target) & (F.col("n") > 1)
-    marked = large.select("_text", F.lit(True).alias("_large")).join(groups, "_text", "right")
-    keyed = materialize(rows.join(marked, "_text").withColumn("_part", F.when(split, F.col("doc_id"))), "shard-keyed")
-    units = keyed.where("_large IS NULL").groupBy("_text", "_part").agg(F.sum("size").alias("_bytes"))
+    keyed = rows.join(groups.withColumn("_large", is_large), "_text").withColumn("_part", F.when(split, F.col("doc_id")))
+    keyed = materialize(keyed.select("doc_id", "size", "text_crc32", "_text", "_part", "_large"), "shard-keyed")
+    units = keyed.where("NOT _large").groupBy("_text", "_part").agg(F.sum("size").alias("_bytes"))
     summed = prefix_sums(units, [], [F.col("_text"), F.col("_part")], {"_start": "_bytes"})
     cut_points = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
     small = summed.select("_text", "_part", F.size(F.filter(cut_points, lambda c: c <= F.col("_start"))).alias("shard"))
-    joined = _with_placed(keyed, placed).alias("k").join(
-        small.alias("u"), (F.col("k._text") == F.col("u._text")) & F.col("k._part").eqNullSafe(F.col("u._part")), "left"
-    )
-    sharded = joined.select(
-        "k.doc_id", "k.size", "k.text_crc32", "k._text", F.coalesce("k._placed", "u.shard").cast("int").alias("shard"), F.lit(1).cast("long").alias("_one")
-    )
+    k, u = keyed.where("NOT _large").alias("k"), small.alias("u")
+    dealt = k.join(u, (F.col("k._text") == F.col("u._text")) & F.col("k._part").eqNullSafe(F.col("u._part")))
+    few = docs.sparkSession.createDataFrame(list(placed.items()), "_text long, shard int")  # fewer than shards/whole rows
+    whole_units = keyed.where("_large").join(F.broadcast(few), "_text")
+    kept = ["doc_id", "size", "text_crc32", "_text", "shard"]
+    sharded = dealt.select("k.doc_id", "k.size", "k.text_crc32", "k._text", F.col("u.shard").cast("int").alias("shard"))
+    sharded = sharded.unionByName(whole_units.select(*kept)).withColumn("_one", F.lit(1).cast("long"))
     slotted = prefix_sums(sharded, ["shard"], [F.col("_text"), F.col("doc_id")], {"slot": "_one"})
     return slotted.select("doc_id", "size", "text_crc32", "shard", "slot")
 
-
-def _with_placed(keyed: DataFrame, placed: dict[int, int]) -> DataFrame:
-    """Mark the rows of units that were placed on the driver; placed has fewer than shards/whole entries."""
-    spark = keyed.sparkSession
-    few = spark.createDataFrame(list(placed.items()), "_text long, _placed int")
-    return keyed.join(F.broadcast(few), "_text", "left")
