@@ -53,7 +53,7 @@ STAGES = [
     ("sharding", deal_shards),
 ]
 
-#: A fitted classifier and entropy balancing are not SQL; the tests hold run() against brute force.
+#: A fitted classifier and entropy balancing are not SQL; the operators have tests of their own, run() as a whole has none yet.
 ORACLE_SQL = None
 
 
