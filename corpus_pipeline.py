@@ -53,7 +53,7 @@ STAGES = [
     ("sharding", deal_shards),
 ]
 
-#: A fitted classifier and entropy balancing are not SQL; the operators have tests of their own, run() as a whole has none yet.
+#: A fitted classifier and entropy balancing are not SQL; tests hold each stage of run() against a brute-force version instead.
 ORACLE_SQL = None
 
 
