@@ -18,6 +18,8 @@ from chunklake.session import materialize
 BUCKET = 2048
 #: Levels of division that use masks of slices, if slices are asked for.
 SLICED = 3
+#: Where a link spans more bits than masks can cover, buckets up to WHOLE times BUCKET are compared whole, larger ones by pairs of blocks.
+WHOLE = 64
 
 # XXH64's primes (fixed values).
 P1, P2, P3, P4, P5 = (
@@ -163,6 +165,24 @@ def sliced_masks(radius: int, parts: int, level: int = 0) -> list[int]:
     return [m for p in range(parts) for m in covering_masks(radius // parts, level * parts + p, range(p * step, (p + 1) * step))]
 
 
+def _components_of_large(w: np.ndarray, total: int) -> np.ndarray:
+    """A label per row of ``w``: the components over all links, comparing only rows outside the largest one with all others.
+
+    Of two rows in different components one is outside the largest, so no link is missed; n variants of one text join
+    after a few rows and cost about n comparisons each, not n * n in all.
+    """
+    label, fresh = np.arange(len(w)), np.ones(len(w), bool)
+    while True:
+        todo = np.flatnonzero(fresh & (label != np.bincount(label).argmax()))
+        if not len(todo):
+            return label
+        for p in todo[:: max(1, len(todo) // 16)][:16]:
+            fresh[p] = False
+            joined = np.zeros(len(w), bool)
+            joined[label[np.bitwise_count(w ^ w[p]).sum(axis=-1, dtype=np.int16) <= total]] = True
+            label[joined[label]] = np.flatnonzero(joined)[0]
+
+
 def _close_in_buckets(bucket: np.ndarray, w: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (root, member) of a forest over the links within sorted buckets; w: a row of words per fingerprint."""
 
@@ -181,14 +201,17 @@ def _close_in_buckets(bucket: np.ndarray, w: np.ndarray, total: int) -> tuple[np
         hit = i[linked(i, i + k)]
         left.append(hit)
         right.append(hit + k)
+    label = np.arange(len(w))
     for a, b in zip(edges[:-1][sizes > 32], edges[1:][sizes > 32], strict=True):
+        if b - a > BUCKET:
+            label[a:b] = a + _components_of_large(w[a:b], total)
+            continue
         every = np.arange(a, b)
         for x in range(a, b, 256):
             p, q = np.nonzero(linked(every[x - a : x - a + 256, None], every[None, :]))
             p, q = p + x, q + a
             left.append(p[p < q])
             right.append(q[p < q])
-    label = np.arange(len(w))
     if left:
         u, v = np.concatenate(left), np.concatenate(right)
         while True:
@@ -236,7 +259,9 @@ def near_links(prints: DataFrame, names: list[str], radius: int = 3, total: int
     Two fingerprints link if they differ in at most ``total`` bits (``radius`` unless given) of all words of ``names`` together
     and meet in a bucket. Every fingerprint goes to one bucket per mask and word, of the first ``keyed`` words; pairs that differ in at
     most ``radius`` bits of some such word always meet, others by chance. With ``parts`` slices there are fewer masks and
-    larger buckets; the guarantee is the same. Buckets of one are dropped, buckets up to ``bucket`` are compared in
+    larger buckets; the guarantee is the same. If ``total`` is over the radius, no masks divide a bucket without parting pairs
+    that link: all pairs of a bucket are compared, in one task up to WHOLE * ``bucket`` rows, beyond that in one per pair of
+    blocks. Otherwise buckets of one are dropped, buckets up to ``bucket`` are compared in
     tasks, and larger ones are divided by the masks of the next level, which also bring every pair within the radius
     together. Masks of slices come first, as they are few; from level SLICED on each mask spans the whole word, fixes about half of the
     free bits, and so a bucket soon has fewer values than ``bucket``. An edge's ends are the id of node_id().
@@ -252,8 +277,12 @@ def near_links(prints: DataFrame, names: list[str], radius: int = 3, total: int
         own = F.element_at(F.array(*names), F.col("word") + 1)
         dealt = dealt.select(F.xxhash64("bucket", "word", "_m", own.bitwiseAND(F.col("_mask"))).alias("bucket"), "word", *names)
         sizes = dealt.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-        over = sizes.where(F.col("_n") > bucket)
+        over = sizes.where(F.col("_n") > (bucket if total <= radius else WHOLE * bucket))
         shared = dealt.join(sizes, "bucket") if parts == 1 else dealt.join(over.select("bucket", "_n"), "bucket", "left")
+        if total > radius:
+            dealt = shared if over.isEmpty() else _in_blocks(materialize(shared, "simhash-buckets"), names, WHOLE * bucket)
+            found.append(materialize(_links(dealt.select("bucket", *names), names, total), "simhash-links"))
+            break
         shared = materialize(shared, "simhash-buckets") if level or not over.isEmpty() else shared
         small = shared.where(F.coalesce("_n", F.lit(0)) <= bucket)
         found.append(materialize(_links(small.select("bucket", *names), names, total), "simhash-links"))
@@ -269,6 +298,17 @@ def near_links(prints: DataFrame, names: list[str], radius: int = 3, total: int
     return edges.select(node_id([f"u_{n}" for n in names]).alias("u"), node_id([f"v_{n}" for n in names]).alias("v")).distinct()
 
 
+def _in_blocks(shared: DataFrame, names: list[str], limit: int) -> DataFrame:
+    """Rows of buckets over ``limit`` (their size in _n), once for every pair of blocks that holds their own block; other rows as they are."""
+    n = F.coalesce("_n", F.lit(0))
+    blocks = F.ceil(n * 2 / limit).cast("long")
+    own, other = F.pmod(F.xxhash64(F.lit(7), *names), F.col("_blocks")), F.col("_other")
+    large = shared.where(n > limit).withColumn("_blocks", blocks).withColumn("_own", own)
+    large = large.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).where("_other <> _own")
+    large = large.withColumn("bucket", F.xxhash64("bucket", F.least("_own", other), F.greatest("_own", other)))
+    return shared.where(n <= limit).select("bucket", *names).unionByName(large.select("bucket", *names))
+
+
 def node_id(names: list[str]) -> Column:
     """One long for a fingerprint: itself, or a hash of its words."""
     return F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
@@ -303,8 +343,8 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, radius: int = 7,
     A pair links if all fingerprints together differ in at most ``total`` of 64 * count bits: texts whose shingle sets have
     a Jaccard similarity of 0.8 differ in 39 of 256 on average, those of 0.7 in 49. The first ``keyed`` fingerprints
     go to buckets: pairs that differ in at most ``radius`` bits of one of them always meet, and nearly all other pairs
-    of 0.8 or more meet too, as each has three chances of 30 masks. Only pairs beyond the radius in an oversized
-    bucket, which is divided, meet less often.
+    of 0.8 or more meet too, as each has three chances of 30 masks. All pairs of a bucket are compared at any size of
+    it, so whether a pair meets doesn't depend on the other rows.
 
     Rows as in simhash_components, but blank and null texts, which have no shingles, and rows with a null doc_id are left out.
     """

@@ -175,6 +175,43 @@ def test_near_copies_of_similarity_above_and_below(spark, bucket):
     assert all(of[d] in (d, d - 1) for d in range(240) if d % 2)
 
 
+def test_fingerprints_that_agree_in_the_keyed_word_and_outnumber_a_bucket(spark):
+    """All links of a hot bucket, whole and by pairs of blocks, though no mask of its word divides it."""
+    rng = random.Random(5)
+    centres = [[rng.getrandbits(63) for _ in range(3)] for _ in range(4)]
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(63), n))
+    prints = sorted({(77, *[flip(x, rng.randrange(14)) for x in rng.choice(centres)]) for _ in range(3000)})
+    w = np.array(prints, np.uint64)
+    roots = list(range(len(w)))
+
+    def root(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for i in range(len(w)):
+        for j in np.flatnonzero(np.bitwise_count(w[:i] ^ w[i]).sum(axis=1) <= 20):
+            a, b = sorted((root(i), root(int(j))))
+            roots[b] = a
+    names = ["w0", "w1", "w2", "w3"]
+    df = spark.createDataFrame(prints, "w0 long, w1 long, w2 long, w3 long")
+    ids = [r.id for r in df.select(simhash.node_id(names).alias("id")).collect()]
+    for bucket in (2048, 8):
+        links = simhash.near_links(df, names, 7, total=20, keyed=1, parts=2, bucket=bucket)
+        got = {r.node: r.root for r in connected_components(links).collect()}
+        groups = {}
+        for i, node in enumerate(ids):
+            groups.setdefault(got.get(node, node), set()).add(root(i))
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({root(i) for i in range(len(w))})
+
+
+def test_twenty_thousand_variants_of_one_text(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    docs = spark.range(20000).selectExpr("id AS doc_id", f"concat('{say(300)} own', id, ' {say(300)}') AS text")
+    assert {r.component_id for r in simhash.near_duplicates(docs).select("component_id").distinct().collect()} == {0}
+
+
 @pytest.mark.parametrize("parts", [1, 2])
 def test_sliced_masks_cover_the_radius_at_every_level(parts):
     rng = random.Random(2)
