@@ -15,6 +15,11 @@ from chunklake.session import materialize, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs, read from Parquet, with each row's own key _row by file and place; ids may be null or repeated."""
+    return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are good at even odds by the ordinal model of the labels."""
     model = train(docs, grades(table(spark, sf_dir, "labels")))
@@ -22,21 +27,29 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; documents without words are no copies."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """Of each group of near copies the row with the smallest id, null last; documents without words are no copies."""
+    rows = with_rows(docs)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    copies = materialize(rows.select("_row", place.alias("_place")).join(found, "_row"), "near-rows")
+    first = copies.groupBy("component_id").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    gone = copies.join(first, "component_id").where("_row <> _first._row").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of a benchmark item."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("runs") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti").select(*COLUMNS)
+    rows = with_rows(docs)
+    hit = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where(F.size("runs") > 0)
+    return rows.join(hit.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*COLUMNS)
 
 
 def take_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mixture takes; a document with no copies goes."""
-    mixed = mix(docs, weights=[3, 1, 2], share=1.5, most=2).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = with_rows(docs)
+    placed = rows.select(F.struct("doc_id", F.xxhash64("text"), "_row").alias("_place"), "text", "source")
+    mixed = mix(placed, weights=[3, 1, 2], share=1.5, most=2, id_col="_place").where("copies > 0").select(F.col("doc_id._row").alias("_row"), "copies")
+    taken = rows.join(mixed, "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

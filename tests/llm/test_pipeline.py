@@ -130,3 +130,25 @@ def test_run_of_odd_tables(spark, tmp_path, monkeypatch, rows):
     out = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in out} <= {r[0] for r in rows}
     assert bool(out) == bool(rows)
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    """Exact rows of the stages that look rows up, though ids are null or stand for several texts."""
+    say = lambda word, n: " ".join(f"{word}{i}" for i in range(n))
+    leak = say("leak", 12)
+    rows = [(None, say("a", 30)), (None, say("a", 30)), (3, say("a", 30)), (None, say("b", 30)), (None, say("b", 30)), (7, say("c", 30)), (7, say("c", 30))]
+    rows += [(7, say("d", 30)), (None, f"{leak} {say('e', 30)}"), (7, f"{leak} {say('f', 30)}"), (None, None), (None, None), (8, ""), (8, "")]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([("x", leak)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    def stage(run, rows, name):
+        corpus(spark, rows).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+        return Counter((r.doc_id, r.text) for r in run(spark, table(spark, folder, name), folder).collect())
+
+    copies = {(None, say("a", 30)): 2, (None, say("b", 30)): 1, (7, say("c", 30)): 1}
+    assert stage(corpus_pipeline.keep_one_of_copies, rows, "near") == Counter(rows) - Counter(copies)
+    assert stage(corpus_pipeline.keep_uncontaminated, rows, "leaks") == Counter(r for r in rows if leak not in (r[1] or ""))
+    mixed = [(d, say("m", 40), s) for s in "abc" for d in [None] * 20 + [7] * 20]
+    took = stage(corpus_pipeline.take_mixture, mixed, "mix")
+    assert set(took) == {(None, say("m", 40)), (7, say("m", 40))} and abs(sum(took.values()) - 180) <= 3
+    assert max(took.values()) <= 2 * 60
