@@ -30,9 +30,9 @@ def unit_bounds(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, start, end, words, d1, d2): every unit that has words, numbered, with UTF-8 offsets and a 128-bit digest.
+    """(doc_id, key, unit, start, end, words, d1, d2): every unit that has words, numbered, with UTF-8 offsets and a 128-bit digest.
 
-    The digest is of the unit's words, lower-cased and without signs and spaces, in order.
+    key is null, or a hash of the text where there is no doc_id. The digest is of the unit's words, lower-cased and without signs and spaces, in order.
     """
     small_batches(docs.sparkSession)
 
@@ -58,6 +58,7 @@ def units(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0).take(pa.array(row[keep])),
+                    rows.column(1).take(pa.array(row[keep])),
                     pa.array((np.arange(len(keep)) - first[row[keep]]).astype(np.int32)),
                     pa.array((bounds[:-1] - off[row])[keep]),
                     pa.array((bounds[1:] - off[row])[keep]),
@@ -65,11 +66,12 @@ def units(docs: DataFrame) -> DataFrame:
                     pa.array(digests[0][keep].view(np.int64)),
                     pa.array(digests[1][keep].view(np.int64)),
                 ],
-                ["doc_id", "unit", "start", "end", "words", "d1", "d2"],
+                ["doc_id", "key", "unit", "start", "end", "words", "d1", "d2"],
             )
 
-    schema = "doc_id long, unit int, start long, end long, words int, d1 long, d2 long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, key long, unit int, start long, end long, words int, d1 long, d2 long"
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long"), key.alias("key"), "text").mapInArrow(run, schema)
 
 
 def repeated_units(docs: DataFrame, min_words: int = 10) -> DataFrame:
@@ -81,16 +83,17 @@ def repeated_units(docs: DataFrame, min_words: int = 10) -> DataFrame:
 
     Counting is a map-side combined aggregate and the way back is a join on the digest that can be split, so a line that a
     third of all texts share is no hot task. Nulls: a null, empty or wordless text has no units. Repeated rows:
-    rows of one doc_id are one document; equal units at the same place don't count twice. Ties: by position. Empty
+    rows of one doc_id are one document, those without an id one per text, after all others; equal units at the same place don't count twice. Ties: by position. Empty
     table: no rows. Other columns are ignored.
     """
     found = materialize(units(docs), "units")
-    counted = found.groupBy("d1", "d2").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "unit", "start")).alias("_first")).where("_n > 1")
+    counted = found.groupBy("d1", "d2").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "unit", "start")).alias("_first")).where("_n > 1")
     counted = materialize(counted, "unit-counts")  # read as a table, it leaves the join below free to split hot digests
     shared = found.join(counted, ["d1", "d2"])
-    later = shared.where((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("unit") != F.col("_first.unit"))).repartition("doc_id").dropDuplicates(["doc_id", "unit", "d1", "d2"])
-    place = Window.partitionBy("doc_id").orderBy("unit")
+    is_first = F.expr("doc_id <=> _first.doc_id AND key <=> _first.key AND unit = _first.unit")
+    later = shared.where(~is_first).repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "unit", "d1", "d2"])
+    place = Window.partitionBy("doc_id", "key").orderBy("unit")
     islands = later.withColumn("_island", F.col("unit") - F.dense_rank().over(place))
-    in_run = F.sum("words").over(Window.partitionBy("doc_id", "_island"))
+    in_run = F.sum("words").over(Window.partitionBy("doc_id", "key", "_island"))
     gone = islands.withColumn("_run", in_run).where(F.col("_run") >= min_words)
     return gone.select("doc_id", "start", "end", F.col("words").alias("n_words"), F.col("_first.doc_id").alias("first_doc_id"), F.col("_first.start").alias("first_start"))

@@ -155,6 +155,14 @@ def test_lines_keep_the_first_and_leave_short_ones(spark):
     assert left[2] == "Other text. \nunique tail" and left[1] == text[1] and left[3] == ""
 
 
+def test_lines_of_rows_without_an_id(spark):
+    line = "a first line of many words that every one of these texts begins with\n"
+    rows = [(None, line + "own"), (None, line + "other"), (2, line + "two"), (3, line + "three"), (4, "four\n" + line)]
+    got = repeated_units(corpus(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.start) for r in got) == [(0, 0), (0, 0), (3, 0), (4, 5)] and {r.first_doc_id for r in got} == {2}
+    assert [r.first_doc_id for r in repeated_units(corpus(spark, rows[:2])).collect()] == [None]
+
+
 def test_lines_within_a_document_and_over_repeated_rows(spark):
     line = "a line of many words that is said again and again by one author\n"
     got = repeated_units(corpus(spark, [(1, line * 3), *odd_rows()])).where("doc_id = 1").collect()
