@@ -18,14 +18,51 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[0x21:0x80] = True
+_SIGN[[c for c in range(0x80) if chr(c).isalnum()]] = False
+_SIGN &= ~_ENDS
+
+
+def _codes(chars: str) -> np.ndarray:
+    return np.array([int.from_bytes(c.encode(), "big") for c in chars])
+
+
+# Stops beyond ASCII, those that end a sentence without white space, and quotes and brackets that may follow a stop.
+_STOPS, _TIGHT = _codes("。！？．｡؟۔।॥։።…"), _codes("。！？．｡")
+_CLOSERS = _codes("«»‘’“”‹›」』）】》〉〕］｝")
+
+
+def signs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes belong to a stop, to a stop that needs no white space after it, and to another sign."""
+    stop, tight, sign = _ENDS[data], np.zeros(len(data), bool), _SIGN[data]
+    for size, leads in ((2, (0xC2, 0xD6, 0xD8, 0xDB)), (3, (0xE0, 0xE1, 0xE2, 0xE3, 0xEF))):
+        at = np.flatnonzero(np.isin(data[: max(len(data) - size + 1, 0)], leads))
+        code = sum(data[at + k].astype(np.int64) << (8 * (size - 1 - k)) for k in range(size))
+        for chars, mark in ((_STOPS, stop), (_TIGHT, tight), (_CLOSERS, sign)):
+            hit = at[np.isin(code, chars)]
+            for k in range(size):
+                mark[hit + k] = True
+    return stop, tight, sign
 
 
 def unit_bounds(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where units begin, and the end: at rows' starts, after line breaks, and after the space that follows . ! or ?"""
-    after = np.zeros(len(data), bool)
-    after[1:] = (data[:-1] == 0x0A) | (data[:-1] == 0x0D)
-    after[2:] |= _SPACE[data[1:-1]] & _ENDS[data[:-2]]
-    after[off[:-1][off[:-1] < len(data)]] = True
+    """Where units begin, and the end: at rows' starts, after line breaks, and after a stop, any signs behind it and one space.
+
+    No space is needed after the stops of scripts that are written without spaces.
+    """
+    if not len(data):
+        return np.zeros(1, np.int64)
+    stop, tight, sign = signs(data)
+    rows = off[:-1][off[:-1] < len(data)]
+    sign_on = sign.copy()
+    sign_on[rows] = False  # signs at a row's start follow no stop of the row before
+    last = np.maximum.accumulate(np.where(sign_on, 0, np.arange(len(data))))
+    ended, ended_tight = (np.concatenate([[False], mark[last][:-1]]) for mark in (stop, tight))
+    ended[rows] = False
+    after = ended_tight & ~sign & ~stop & ~_SPACE[data]
+    after[1:] |= (data[:-1] == 0x0A) | (data[:-1] == 0x0D) | (_SPACE[data] & ended)[:-1]
+    after[rows] = True
     return np.concatenate([np.flatnonzero(after), [len(data)]])
 
 
@@ -40,7 +77,8 @@ def units(docs: DataFrame) -> DataFrame:
         for rows, data, off in pieces(batches, "text"):
             if not len(data):
                 continue
-            low = LOWER[data]
+            stop, _, sign = signs(data)
+            low = np.where(stop | sign, np.uint8(0x20), LOWER[data])
             starts, ends, _ = words(low, off, LOWER_ALNUM)
             h = slice_hashes(low, starts, ends)
             bounds = unit_bounds(data, off)

@@ -155,6 +155,15 @@ def test_lines_keep_the_first_and_leave_short_ones(spark):
     assert left[2] == "Other text. \nunique tail" and left[1] == text[1] and left[3] == ""
 
 
+def test_sentences_end_behind_signs_and_at_stops_of_other_scripts(spark):
+    said = "Ten words or more are in this one sentence of theirs"
+    rows = [(1, f"Own one. {said}. Tail a"), (2, f"*Own two.* {said}.** Tail b"), (3, f'"Own three." ({said}!) Tail c'), (4, f"“Own four.” «{said}?» Tail d")]
+    rows += [(5, f"自己的开头。{said}！」尾巴"), (6, f"另一个开头？{said}。别的"), (7, 'A row that ends in a stop.'), (8, f'" {said}')]
+    text = dict(rows)
+    got = {r.doc_id: text[r.doc_id].encode()[r.start : r.end].decode() for r in repeated_units(corpus(spark, rows)).collect()}
+    assert set(got) == {2, 3, 4, 5, 6, 8} and all(said in x and len(x) < len(said) + 6 for x in got.values())
+
+
 def test_lines_of_rows_without_an_id(spark):
     line = "a first line of many words that every one of these texts begins with\n"
     rows = [(None, line + "own"), (None, line + "other"), (2, line + "two"), (3, line + "three"), (4, "four\n" + line)]
