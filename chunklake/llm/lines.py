@@ -67,9 +67,9 @@ def unit_bounds(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, unit, start, end, words, d1, d2): every unit that has words, numbered, with UTF-8 offsets and a 128-bit digest.
+    """(doc_id, key, unit, start, end, words, chars, line, of, d1, d2): every unit that has words, numbered, with UTF-8 offsets and a 128-bit digest.
 
-    key is null, or a hash of the text where there is no doc_id. The digest is of the unit's words, lower-cased and without signs and spaces, in order.
+    chars counts the words' characters, line numbers the row's lines, and of is how many units the line has. key is null, or a hash of the text where there is no doc_id. The digest is of the unit's words, lower-cased and without signs and spaces, in order.
     """
     small_batches(docs.sparkSession)
 
@@ -92,6 +92,10 @@ def units(docs: DataFrame) -> DataFrame:
                 digests.append(mixed((run_sum[at[1:]] - run_sum[at[:-1]]) * down[at[:-1]] + n.astype(np.uint64)))
             row = np.searchsorted(off, bounds[:-1], "right") - 1
             keep = np.flatnonzero(n > 0)
+            chars = np.concatenate([[0], np.cumsum(LOWER_ALNUM[low] & ((low & 0xC0) != 0x80))])[bounds]
+            broken = np.concatenate([[0], np.cumsum((data == 0x0A) | (data == 0x0D))])
+            new_line = np.concatenate([[True], (np.diff(broken[bounds[:-1]][keep]) > 0) | (np.diff(row[keep]) > 0)])[: len(keep)]
+            line = np.cumsum(new_line) - 1
             first = np.searchsorted(row[keep], np.arange(len(off) - 1))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -101,23 +105,27 @@ def units(docs: DataFrame) -> DataFrame:
                     pa.array((bounds[:-1] - off[row])[keep]),
                     pa.array((bounds[1:] - off[row])[keep]),
                     pa.array(n[keep].astype(np.int32)),
+                    pa.array(np.diff(chars)[keep].astype(np.int32)),
+                    pa.array((line - np.concatenate([line, [0]])[first[row[keep]]]).astype(np.int32)),
+                    pa.array(np.bincount(line, minlength=1)[line].astype(np.int32)),
                     pa.array(digests[0][keep].view(np.int64)),
                     pa.array(digests[1][keep].view(np.int64)),
                 ],
-                ["doc_id", "key", "unit", "start", "end", "words", "d1", "d2"],
+                ["doc_id", "key", "unit", "start", "end", "words", "chars", "line", "of", "d1", "d2"],
             )
 
-    schema = "doc_id long, key long, unit int, start long, end long, words int, d1 long, d2 long"
+    schema = "doc_id long, key long, unit int, start long, end long, words int, chars int, line int, of int, d1 long, d2 long"
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     return docs.select(F.col("doc_id").cast("long"), key.alias("key"), "text").mapInArrow(run, schema)
 
 
-def repeated_units(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = 10, min_chars: int = 50, line_chars: int = 10) -> DataFrame:
     """One row per unit to remove: doc_id, start, end, n_words, first_doc_id, first_start.
 
     Units are lines, and sentences within lines. Digests are grouped globally; of each repeated unit the occurrence
     with the smallest (doc_id, position) stays and the others go, if they stand in a run of consecutive
-    later occurrences of at least ``min_words`` words: a passage goes with its short sentences, a lone short one stays.
+    later occurrences of at least ``min_words`` words or ``min_chars`` characters (letters and digits), or are all of a line of at
+    least ``line_chars``: a passage goes with its short sentences and a line by itself, a lone short sentence stays.
 
     Counting is a map-side combined aggregate and the way back is a join on the digest that can be split, so a line that a
     third of all texts share is no hot task. Nulls: a null, empty or wordless text has no units. Repeated rows:
@@ -132,6 +140,8 @@ def repeated_units(docs: DataFrame, min_words: int = 10) -> DataFrame:
     later = shared.where(~is_first).repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "unit", "d1", "d2"])
     place = Window.partitionBy("doc_id", "key").orderBy("unit")
     islands = later.withColumn("_island", F.col("unit") - F.dense_rank().over(place))
-    in_run = F.sum("words").over(Window.partitionBy("doc_id", "key", "_island"))
-    gone = islands.withColumn("_run", in_run).where(F.col("_run") >= min_words)
+    in_run, in_line = Window.partitionBy("doc_id", "key", "_island"), Window.partitionBy("doc_id", "key", "line", "of")
+    long_run = (F.sum("words").over(in_run) >= min_words) | (F.sum("chars").over(in_run) >= min_chars)
+    whole_line = (F.count("*").over(in_line) >= F.col("of")) & (F.sum("chars").over(in_line) >= line_chars)
+    gone = islands.withColumn("_gone", long_run | whole_line).where("_gone")
     return gone.select("doc_id", "start", "end", F.col("words").alias("n_words"), F.col("_first.doc_id").alias("first_doc_id"), F.col("_first.start").alias("first_start"))

@@ -164,6 +164,16 @@ def test_sentences_end_behind_signs_and_at_stops_of_other_scripts(spark):
     assert set(got) == {2, 3, 4, 5, 6, 8} and all(said in x and len(x) < len(said) + 6 for x in got.values())
 
 
+def test_whole_lines_go_at_any_number_of_words(spark):
+    license, thai, both = "Released under the MIT license.", "ภาษาไทยไม่มีช่องว่างระหว่างคำในประโยค", "Up to date. See below."
+    rows = [(d, f"own {d}\n{license}\n{thai}\nIn a line of {d}: yes. See below. Really {d}\n\n{both}") for d in (1, 2, 3)]
+    rows += [(4, f"{license} And more of its own"), (5, license), (6, "你们好我们在这里等着你们的到来\n六")]
+    rows += [(7, "七\n你们好我们在这里等着你们的到来")]
+    text = dict(rows)
+    got = sorted((r.doc_id, text[r.doc_id].encode()[r.start : r.end].decode().strip()) for r in repeated_units(corpus(spark, rows)).collect())
+    assert got == sorted([(d, x) for d in (2, 3) for x in (license, thai, "Up to date.", "See below.")] + [(5, license), (7, text[7][2:])])
+
+
 def test_lines_of_rows_without_an_id(spark):
     line = "a first line of many words that every one of these texts begins with\n"
     rows = [(None, line + "own"), (None, line + "other"), (2, line + "two"), (3, line + "three"), (4, "four\n" + line)]
