@@ -73,7 +73,7 @@ def op2_chat(spark, sf):
 @query()
 def op3_ann(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)  # also returns how many vectors were verified
 
 
 @query()

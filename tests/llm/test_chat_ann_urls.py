@@ -84,7 +84,7 @@ def test_nearest(spark):
     rows += [(600 + i, rows[5][1]) for i in range(60)] + [(700, None), (705, [0.0] * 32), (710, [float("nan")] * 32), (715, [None] * 32), (720, []), (725, [1.0, 2.0]), (726, [1.5, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in nearest(df, df.where("vec_id % 5 = 0"), 10, block_vectors=200, block_queries=50).collect():
+    for r in nearest(df, df.where("vec_id % 5 = 0"), 10, block_numbers=200 * 32).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.score, r.vec_id)
     want = brute_nearest(rows, 10)
     assert set(got) == {q for q, w in want.items() if w}
@@ -107,6 +107,23 @@ def test_recall_on_the_embeddings(spark):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_an_index_verifies_a_small_share(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    asked = [r for r in rows if r[0] % 100 == 0]
+    got = nearest(df, df.where("vec_id % 100 = 0"), block_numbers=1 << 30).collect()
+    want = {(q, v) for q, w in brute_nearest(asked + [r for r in rows if r[0] % 100], 10).items() if q % 100 == 0 for _, v in w}
+    assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.95 * len(want)
+    share = {r.query_id: r.verified / len(rows) for r in got}
+    assert sum(share.values()) / len(share) < 0.2
+
+
+def test_repeated_vectors_are_candidates_each(spark):
+    df = spark.createDataFrame([(100, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (1, [1.0, 0.3]), (2, [5.0]), (100, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = nearest(df, df.where("vec_id = 100")).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, round(r.score, 2)) for r in got] == [(1, 1, 0.1), (2, 1, 0.1), (3, 1, 0.3)]
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/en/", "block"), ("org", "/fr/", "allow"), ("org", "/fr/x", "block"), (None, "/", "block")]
 URLS = ["http://net", "http://net/", "HTTP://EXAMPLE.net/en/1?q", "https://b.a.example.net/en/", "https://ba.example.net/en/#x", "http://x.org/fr/xy", "http://x.org/frx", "http://xorg/fr/", None, "", "no scheme/en/", "://org/fr/", "http://planet/", "http://net:80/", "http://ex ample.net/en/"]
 
