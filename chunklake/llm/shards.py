@@ -9,57 +9,41 @@ from chunklake.operators.prefix import prefix_sums
 from chunklake.session import materialize
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, whole: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, together: float = 0.04, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal all rows into ``shards`` contiguous shards of near-equal bytes.
 
-    A row's size is the UTF-8 bytes of its text plus 1 (null text: 1). Rows are put in the order of
-    (text hash, id), so equal texts are neighbours and a unit is either all rows of one text or, for a
-    text whose copies exceed a whole shard, each row. A unit over ``whole`` of a shard's target is dealt
-    first, largest to the emptiest shard: there are fewer than shards/whole of them, whatever the input,
-    so this happens on the driver. All other units follow by the prefix sum of their bytes, cut where the
-    rest of each shard's target is used up. So copies stay together unless one text alone outgrows a shard, and
-    shards differ by about ``whole`` of a target.
+    A row's size is the UTF-8 bytes of its text plus 1 (null text: 1). Rows are put in the order of (text hash, id), so equal
+    texts are neighbours, and one running sum over all rows gives each its start. Shard s takes the rows whose middle lies in the
+    s-th of ``shards`` equal parts of all bytes; so a shard differs from the target by half a row at either end. Only
+    the groups of equal texts that lie across a cut, fewer than ``shards``, would be divided: such a group goes as a whole to the
+    shard of its own middle if it has at most ``together`` of a shard's target, and is divided by rows otherwise. Shards stay contiguous.
 
-    Nulls: a null text sizes 1 and has checksum 0; null ids are kept. Empty table: no rows. Repeated rows and
+    Nulls: a null text sizes 1 and has checksum 0; null ids are kept, first of their text. Empty table: no rows. Repeated rows and
     ties: each row gets a slot of its own. Other columns are ignored. Returns id, size, text_crc32, shard, slot.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.octet_length(text).cast("long") + 1).alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text)).alias("_text"),
-        ),
-        "shard-rows",
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text)).alias("_text"),
+        F.lit(1).cast("long").alias("_one"),
     )
-    groups = materialize(rows.groupBy("_text").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    placed = materialize(prefix_sums(rows, [], [F.col("_text"), F.col("doc_id")], {"_start": "size", "_place": "_one"}), "shard-rows")
+    total = placed.agg(F.sum("size")).first()[0] or 0
     target = max(total / shards, 1.0)
-    is_large = (F.col("bytes") > whole * target) & ((F.col("bytes") <= target) | (F.col("n") == 1))
-    large = groups.where(is_large)
-    fill, placed = [0] * shards, {}
-    for key, size in sorted(((r["_text"], r["bytes"]) for r in large.select("_text", "bytes").collect()), key=lambda x: (-x[1], x[0])):
-        least = min(range(shards), key=lambda s: (fill[s], s))
-        placed[key], fill[least] = least, fill[least] + size
-    room = [max(0, round(total * (s + 1) / shards) - round(total * s / shards) - fill[s]) for s in range(shards)]
-    rest = total - sum(fill)
-    cuts = [round(rest * sum(room[:s]) / max(1, sum(room))) for s in range(1, shards)]
-
-    split = (F.col("bytes") > target) & (F.col("n") > 1)
-    keyed = rows.join(groups.withColumn("_large", is_large), "_text").withColumn("_part", F.when(split, F.col("doc_id")))
-    keyed = materialize(keyed.select("doc_id", "size", "text_crc32", "_text", "_part", "_large"), "shard-keyed")
-    units = keyed.where("NOT _large").groupBy("_text", "_part").agg(F.sum("size").alias("_bytes"))
-    summed = prefix_sums(units, [], [F.col("_text"), F.col("_part")], {"_start": "_bytes"})
-    cut_points = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    small = summed.select("_text", "_part", F.size(F.filter(cut_points, lambda c: c <= F.col("_start"))).alias("shard"))
-    k, u = keyed.where("NOT _large").alias("k"), small.alias("u")
-    dealt = k.join(u, (F.col("k._text") == F.col("u._text")) & F.col("k._part").eqNullSafe(F.col("u._part")))
-    few = docs.sparkSession.createDataFrame(list(placed.items()), "_text long, shard int")  # fewer than shards/whole rows
-    whole_units = keyed.where("_large").join(F.broadcast(few), "_text")
-    kept = ["doc_id", "size", "text_crc32", "_text", "shard"]
-    sharded = dealt.select("k.doc_id", "k.size", "k.text_crc32", "k._text", F.col("u.shard").cast("int").alias("shard"))
-    sharded = sharded.unionByName(whole_units.select(*kept)).withColumn("_one", F.lit(1).cast("long"))
-    slotted = prefix_sums(sharded, ["shard"], [F.col("_text"), F.col("doc_id")], {"slot": "_one"})
-    return slotted.select("doc_id", "size", "text_crc32", "shard", "slot")
 
+    def part(middle):
+        return F.least(F.floor(middle / F.lit(target)), F.lit(shards - 1)).cast("int")
+
+    cuts = F.array(*[F.lit(target * s) for s in range(1, shards)]).cast("array<double>")
+    start, end = F.col("_start"), F.col("_start") + F.col("size")
+    middle = start + F.col("size") / 2
+    # the texts across a cut: those of the rows around it, at most two for each cut
+    beside = placed.where(F.exists(cuts, lambda c: (c >= start) & (c <= end))).select("_text").distinct()
+    across = placed.join(F.broadcast(beside), "_text").groupBy("_text").agg(F.min("_start").alias("_from"), F.max(end).alias("_to"))
+    whole = across.where(F.col("_to") - F.col("_from") <= together * target).select("_text", part((F.col("_from") + F.col("_to")) / 2).alias("_whole"))
+    dealt = placed.join(F.broadcast(whole), "_text", "left").withColumn("shard", F.coalesce("_whole", part(middle)))
+    dealt = materialize(dealt.select("doc_id", "size", "text_crc32", "shard", "_place"), "shard-dealt")
+    first = dealt.groupBy("shard").agg(F.min("_place").alias("_first"))  # a row per shard
+    return dealt.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_place") - F.col("_first")).alias("slot"))

@@ -34,11 +34,51 @@ def test_shards_are_near_equal_and_gapless(spark, copies):
     assert max(sums) - min(sums) < 0.06 * sum(sums) / 4
     for s in range(4):
         assert sorted(r.slot for r in by[s]) == list(range(len(by[s])))
-    if copies * 19 <= sum(sums) / 4:
-        where = defaultdict(set)
-        for r in got:
-            where[text[r.doc_id]].add(r.shard)
-        assert all(len(x) == 1 for x in where.values())
+    where = defaultdict(set)
+    for r in got:
+        where[text[r.doc_id]].add(r.shard)
+    assert all(len(x) == 1 for t, x in where.items() if copies * 19 <= 0.04 * sum(sums) / 4 or t != "the very same text")
+
+
+def brute_shards(rows, shards, together):
+    # rows: (order, text, size); in the stated order
+    total = sum(x[2] for x in rows)
+    target, out, at, spans = total / shards, [], 0, {}
+    part = lambda m: min(int(m // target), shards - 1)
+    for _, t, n in rows:
+        out.append(part(at + n / 2))
+        spans[t] = (spans.get(t, (at,))[0], at + n)
+        at += n
+    for k, (_, t, _n) in enumerate(rows):
+        a, b = spans[t]
+        if b - a <= together * target:
+            out[k] = part((a + b) / 2)
+    return out
+
+
+@pytest.mark.parametrize("together", [0.0, 0.04, 0.5])
+def test_shards_against_brute_force(spark, together):
+    rng = random.Random(5)
+    rows = [(k, t) for k, t in enumerate(texts(120, 6, 40))] + [(500, "a" * 9000), (501, "b" * 9000), (502, "a" * 9000), (None, "the very same text"), (7, None)]
+    rng.shuffle(rows)
+    docs = corpus(spark, rows)
+    order = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "if(text is null, 0, xxhash64(text)) AS h").collect()}
+    ranked = sorted(rows, key=lambda x: (order[x], x[0] is not None, x[0] or 0))
+    want = brute_shards([(d, t, len((t or "").encode()) + 1) for d, t in ranked], 5, together)
+    got = shard_by_bytes(docs, shards=5, together=together).collect()
+    assert sorted((r.doc_id or -1, r.size, r.shard) for r in got) == sorted((d or -1, len((t or "").encode()) + 1, s) for (d, t), s in zip(ranked, want, strict=True))
+    assert want == sorted(want)  # contiguous in the stated order
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_two_texts_of_nearly_a_shard_each_stay_balanced(spark):
+    rows = [(k, "t%03d" % (k % 90) * 25) for k in range(400)] + [(1000 + k, c * 400) for c in "xy" for k in range(22)]
+    got = shard_by_bytes(corpus(spark, rows), shards=6).collect()
+    sums = [sum(r.size for r in got if r.shard == s) for s in range(6)]
+    assert max(sums) - min(sums) <= 0.04 * sum(sums) / 6 + 2 * 401
 
 
 def test_shards_of_odd_rows(spark):
