@@ -28,8 +28,30 @@ def url_path(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    """Labels in reverse, each closed by a NUL, so that a host and its subdomains are one interval of keys."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\0"), F.lit("\0"))
+    """Labels in reverse, each closed by a NUL, so that a host and its subdomains are one interval of keys.
+
+    A NUL or 0x01 of the host itself is written as two characters without NUL.
+    """
+    plain = F.replace(F.replace(host, F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\3"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), "\0"), F.lit("\0"))
+
+
+class HostRules:
+    """The rules of one host, whose interval of keys ends at ``to``."""
+
+    def __init__(self, host: str, to: str):
+        self.host, self.to = host, to
+        self.verdicts: dict[str, str] = {}
+        self.lengths: list[int] = []
+
+    def add(self, path: str, verdict: str) -> None:
+        self.verdicts[path] = verdict
+        if len(path) not in self.lengths:
+            self.lengths = sorted([*self.lengths, len(path)], reverse=True)
+
+    def longest(self, path: str) -> str | None:
+        """The longest rule path that ``path`` starts with."""
+        return next((path[:n] for n in self.lengths if path[:n] in self.verdicts), None)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -41,11 +63,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     A host's key is its labels in reverse, so a rule covers the interval of keys that begin with its own. The keys
     (with path and id, so a hot host is cut too) are divided into ranges at sampled quantiles; a rule goes to every range that its
     interval meets. Each task walks through its range in order with a stack of the rules whose interval is open: these
-    are nested, so the ones that have ended are on top.
+    are nested, so the ones that have ended are on top. The stack holds an entry for each host, at most one per label of the page's
+    host, with its rules' paths by length, so a page costs labels times lengths, not rules.
 
-    Nulls: a null url, or one without ://, has empty host and path and fits no rule; rules with a null host or
-    path are ignored. Ties: equal rules count once, by verdict ascending. Repeated rows stay, an empty table gives no
-    rows, other columns are ignored. Returns page_id, host, path, rule, verdict.
+    Nulls: a null url, or one without ://, has empty host and path and fits no rule; rules with a null or empty host or
+    a null path are ignored. Ties: equal rules count once, by verdict ascending. Repeated rows stay, an empty table gives no
+    rows, other columns are ignored. Urls of any length are judged whole. Returns page_id, host, path, rule, verdict.
     """
     keyed = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")).withColumn("key", host_key(F.col("host")))
     ranged = keyed.repartitionByRange("key", "path", "page_id").withColumn("bucket", F.spark_partition_id())
@@ -62,21 +85,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     swept = page_rows.unionByName(rule_rows).repartition("bucket").sortWithinPartitions("bucket", "key", "kind", "host", "path")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, str, str, str]] = []
+        stack: list[HostRules] = []
         now = None
         for batch in batches:
             out = []
             for b, key, kind, page, host, path, to, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != now:
                     stack, now = [], b
-                while stack and stack[-1][0] <= key:
+                while stack and stack[-1].to <= key:
                     stack.pop()
                 if kind == 0:
-                    stack.append((to, host, path, verdict))
+                    if not stack or stack[-1].host != host:
+                        stack.append(HostRules(host, to))
+                    stack[-1].add(path, verdict)
                     continue
-                fits = [r for r in stack if path.startswith(r[2])] if host else []
-                best = max(fits, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]))) if fits else None
-                out.append((page, host, path, best and best[1] + best[2], best[3] if best else default))
+                fits = [(len(r.host) + len(p), len(r.host), r.host + p, v) for r in stack if (p := r.longest(path)) is not None for v in [r.verdicts[p]]] if host else []
+                best = max(fits) if fits else None
+                out.append((page, host, path, best and best[2], best[3] if best else default))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
 
     names = ["page_id", "host", "path", "rule", "verdict"]

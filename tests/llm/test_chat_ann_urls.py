@@ -125,7 +125,7 @@ def test_repeated_vectors_are_candidates_each(spark):
 
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/en/", "block"), ("org", "/fr/", "allow"), ("org", "/fr/x", "block"), (None, "/", "block")]
-URLS = ["http://net", "http://net/", "HTTP://EXAMPLE.net/en/1?q", "https://b.a.example.net/en/", "https://ba.example.net/en/#x", "http://x.org/fr/xy", "http://x.org/frx", "http://xorg/fr/", None, "", "no scheme/en/", "://org/fr/", "http://planet/", "http://net:80/", "http://ex ample.net/en/"]
+URLS = ["http://net", "http://net/", "HTTP://EXAMPLE.net/en/1?q", "https://b.a.example.net/en/", "https://ba.example.net/en/#x", "http://x.org/fr/xy", "http://x.org/frx", "http://xorg/fr/", None, "", "no scheme/en/", "://org/fr/", "http://planet/", "http://net:80/", "http://ex ample.net/en/", "http://example\0.net/en/x", "http://x\1\3org/fr/", "http://b.a.example.net/en/" + "y" * 100000]
 
 
 def brute_verdict(url):
