@@ -16,9 +16,8 @@ from chunklake.session import materialize
 
 #: Distinct fingerprints that one task compares with each other; larger buckets are divided further.
 BUCKET = 2048
-#: Levels of division that use masks of slices, if slices are asked for.
-SLICED = 3
-#: Where a link spans more bits than masks can cover, buckets up to WHOLE times BUCKET are compared whole, larger ones by pairs of blocks.
+#: Levels of masks; a bucket that they leave over BUCKET is compared whole up to WHOLE times BUCKET, by pairs of blocks beyond.
+LEVELS = 2
 WHOLE = 64
 
 # XXH64's primes (fixed values).
@@ -253,77 +252,54 @@ def _links(buckets: DataFrame, names: list[str], total: int) -> DataFrame:
     return buckets.repartition("bucket").sortWithinPartitions("bucket", *names).mapInArrow(run, schema)
 
 
-def near_links(prints: DataFrame, names: list[str], radius: int = 3, total: int | None = None, keyed: int | None = None, parts: int = 1, bucket: int = BUCKET) -> DataFrame:
-    """Edges (u, v, of words' ids) that connect all distinct fingerprints of ``prints`` with a link.
+def near_links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """Edges (u, v) that connect all distinct fingerprints w0 of ``prints`` that differ in at most ``radius`` bits.
 
-    Two fingerprints link if they differ in at most ``total`` bits (``radius`` unless given) of all words of ``names`` together
-    and meet in a bucket. Every fingerprint goes to one bucket per mask and word, of the first ``keyed`` words; pairs that differ in at
-    most ``radius`` bits of some such word always meet, others by chance. With ``parts`` slices there are fewer masks and
-    larger buckets; the guarantee is the same. If ``total`` is over the radius, no masks divide a bucket without parting pairs
-    that link: all pairs of a bucket are compared, in one task up to WHOLE * ``bucket`` rows, beyond that in one per pair of
-    blocks. Otherwise buckets of one are dropped, buckets up to ``bucket`` are compared in
-    tasks, and larger ones are divided by the masks of the next level, which also bring every pair within the radius
-    together. Masks of slices come first, as they are few; from level SLICED on each mask spans the whole word, fixes about half of the
-    free bits, and so a bucket soon has fewer values than ``bucket``. An edge's ends are the id of node_id().
+    Every fingerprint goes to one bucket per mask, so every pair within the radius meets. Buckets of one are dropped,
+    buckets up to ``bucket`` are compared in tasks, and larger ones are divided by the masks of the next level, which also bring every
+    pair within the radius together. A bucket that is still large then is a dense cluster, or agrees in the kept bits of both
+    levels: all its pairs are compared, in one task up to WHOLE * ``bucket`` rows, beyond that in one per pair of blocks. So the rows
+    of a bucket grow by a fixed factor, and any density gives the same links.
     """
-    total = radius if total is None else total
-    keyed = len(names) if keyed is None else keyed
-    level, found = 0, []
-    todo = prints.select(*names).distinct().withColumn("bucket", F.lit(0).cast("long")).withColumn("word", F.explode(F.array(*[F.lit(k) for k in range(keyed)])))
-    while True:
-        made = sliced_masks(radius, parts, level) if level < SLICED else covering_masks(radius, level)
-        masks = F.array(*[F.lit(m).cast("long") for m in made])
-        dealt = todo.select("bucket", "word", *names, F.posexplode(masks).alias("_m", "_mask"))
-        own = F.element_at(F.array(*names), F.col("word") + 1)
-        dealt = dealt.select(F.xxhash64("bucket", "word", "_m", own.bitwiseAND(F.col("_mask"))).alias("bucket"), "word", *names)
-        sizes = dealt.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-        over = sizes.where(F.col("_n") > (bucket if total <= radius else WHOLE * bucket))
-        shared = dealt.join(sizes, "bucket") if parts == 1 else dealt.join(over.select("bucket", "_n"), "bucket", "left")
-        if total > radius:
-            dealt = shared if over.isEmpty() else _in_blocks(materialize(shared, "simhash-buckets"), names, WHOLE * bucket)
-            found.append(materialize(_links(dealt.select("bucket", *names), names, total), "simhash-links"))
-            break
-        shared = materialize(shared, "simhash-buckets") if level or not over.isEmpty() else shared
-        small = shared.where(F.coalesce("_n", F.lit(0)) <= bucket)
-        found.append(materialize(_links(small.select("bucket", *names), names, total), "simhash-links"))
-        level += 1
-        if over.isEmpty():
+    found = []
+    todo = prints.select("w0").distinct().withColumn("bucket", F.lit(0).cast("long"))
+    for level in range(LEVELS):
+        masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius, level)])
+        dealt = todo.select("bucket", "w0", F.posexplode(masks).alias("_m", "_mask"))
+        dealt = dealt.select(F.xxhash64("bucket", "_m", F.col("w0").bitwiseAND(F.col("_mask"))).alias("bucket"), "w0")
+        sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"), "simhash-sizes")
+        shared = dealt.join(sizes, "bucket")
+        last, is_over = level == LEVELS - 1, F.col("_n") > bucket
+        over = not sizes.where(is_over).isEmpty()
+        if over:
+            shared = materialize(shared, "simhash-buckets")
+        whole = in_blocks(shared, ["w0"], WHOLE * bucket) if last and over else shared if not over else shared.where(~is_over)
+        found.append(materialize(_links(whole.select("bucket", "w0"), ["w0"], radius), "simhash-links"))
+        if not over:
             break
-        if level == 12:
-            raise ValueError(f"a bucket of over {bucket} fingerprints agrees in nearly all bits; raise the bucket size")
-        todo = shared.where(F.col("_n") > bucket).select("bucket", "word", *names)
+        todo = shared.where(is_over).select("bucket", "w0").repartition("bucket", "w0")
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
-    return edges.select(node_id([f"u_{n}" for n in names]).alias("u"), node_id([f"v_{n}" for n in names]).alias("v")).distinct()
+    return edges.select(F.col("u_w0").alias("u"), F.col("v_w0").alias("v")).distinct()
 
 
-def _in_blocks(shared: DataFrame, names: list[str], limit: int) -> DataFrame:
-    """Rows of buckets over ``limit`` (their size in _n), once for every pair of blocks that holds their own block; other rows as they are."""
+def in_blocks(shared: DataFrame, names: list[str], limit: int, keep: int = 0) -> DataFrame:
+    """Rows of buckets over ``limit`` (their size in _n), once for every pair of blocks that holds their own block; other rows as they are.
+
+    The lowest ``keep`` bits of the bucket's number stay.
+    """
     n = F.coalesce("_n", F.lit(0))
     blocks = F.ceil(n * 2 / limit).cast("long")
     own, other = F.pmod(F.xxhash64(F.lit(7), *names), F.col("_blocks")), F.col("_other")
     large = shared.where(n > limit).withColumn("_blocks", blocks).withColumn("_own", own)
     large = large.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).where("_other <> _own")
-    large = large.withColumn("bucket", F.xxhash64("bucket", F.least("_own", other), F.greatest("_own", other)))
+    low = F.lit((1 << keep) - 1).cast("long")
+    made = F.xxhash64("bucket", F.least("_own", other), F.greatest("_own", other)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("bucket").bitwiseAND(low))
+    large = large.withColumn("bucket", made)
     return shared.where(n <= limit).select("bucket", *names).unionByName(large.select("bucket", *names))
 
 
-def node_id(names: list[str]) -> Column:
-    """One long for a fingerprint: itself, or a hash of its words."""
-    return F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
-
-
-def _components(prints: DataFrame, names: list[str], **how) -> DataFrame:
-    """(doc_id, words, component_id) from (doc_id, words)."""
-    distinct = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node_id", node_id(names)), "simhash-distinct")
-    roots = connected_components(near_links(distinct, names, **how))
-    rooted = distinct.join(roots, F.col("node_id") == F.col("node"), "left").select(*names, "first", F.coalesce("root", "node_id").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = rooted.join(smallest, "root").select(*names, "component_id")
-    return prints.join(of_print, names)
-
-
 def simhash_components(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
     """Per row its fingerprint and the smallest doc_id it reaches over links of at most ``radius`` differing bits.
 
@@ -333,22 +309,9 @@ def simhash_components(docs: DataFrame, radius: int = 3, words_in_shingle: int =
     Returns doc_id, fingerprint (16 hex digits), component_id.
     """
     prints = materialize(fingerprints(docs, words_in_shingle, seed), "simhash-prints")
-    found = _components(prints, ["w0"], radius=radius, bucket=bucket)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, radius: int = 7, total: int = 43, count: int = 4, keyed: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, component_id) of near copies by ``count`` fingerprints of 64 bits over shingles of five words.
-
-    A pair links if all fingerprints together differ in at most ``total`` of 64 * count bits: texts whose shingle sets have
-    a Jaccard similarity of 0.8 differ in 39 of 256 on average, those of 0.7 in 49. The first ``keyed`` fingerprints
-    go to buckets: pairs that differ in at most ``radius`` bits of one of them always meet, and nearly all other pairs
-    of 0.8 or more meet too, as each has three chances of 30 masks. All pairs of a bucket are compared at any size of
-    it, so whether a pair meets doesn't depend on the other rows.
-
-    Rows as in simhash_components, but blank and null texts, which have no shingles, and rows with a null doc_id are left out.
-    """
-    spoken = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    prints = materialize(fingerprints(spoken, words_in_shingle, 42, count), "near-prints")
-    found = _components(prints, [f"w{k}" for k in range(count)], radius=radius, total=total, keyed=keyed, parts=2, bucket=bucket)
-    return found.select("doc_id", "component_id")
+    distinct = materialize(prints.groupBy("w0").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = connected_components(near_links(distinct, radius, bucket))
+    rooted = distinct.join(roots, F.col("w0") == F.col("node"), "left").select("w0", "first", F.coalesce("root", "w0").alias("root"))
+    smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-smallest")
+    of_print = rooted.join(smallest, "root").select("w0", "component_id")
+    return prints.join(of_print, "w0").select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")

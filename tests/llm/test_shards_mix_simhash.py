@@ -174,84 +174,17 @@ def test_simhash_against_brute_force(spark):
     assert simhash.simhash_components(corpus(spark, [])).collect() == []
 
 
-def test_links_when_buckets_are_divided(spark):
+@pytest.mark.parametrize("bucket", [40, 1])
+def test_links_when_buckets_are_divided(spark, bucket):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62)
     fps = sorted({int(base) ^ sum(1 << int(b) for b in rng.choice(20, rng.integers(0, 7), replace=False)) for _ in range(300)} | {int(x) for x in rng.integers(0, 1 << 62, 50)})
     df = spark.createDataFrame([(f,) for f in fps], "w0 long")
-    roots = {r.node: r.root for r in connected_components(simhash.near_links(df, ["w0"], 3, bucket=40)).collect()}
+    roots = {r.node: r.root for r in connected_components(simhash.near_links(df, 3, bucket)).collect()}
     want = brute_components([(f, f) for f in fps])
     assert [roots.get(f, f) for f in fps] == want
 
 
-def edited(words, share, rng):
-    return " ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in words)
-
-
-def jaccard(a, b, n=5):
-    x, y = ({tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in (a, b))
-    return len(x & y) / len(x | y)
-
-
-@pytest.mark.parametrize("bucket", [simhash.BUCKET, 60])
-def test_near_copies_of_similarity_above_and_below(spark, bucket):
-    """Pairs of texts with a measured similarity; small buckets are divided level by level."""
-    rng = random.Random(11)
-    rows, pairs = [], {}
-    for k in range(120):
-        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([120, 400, 900]))]
-        a, b = " ".join(words), edited(words, rng.choice([0.004, 0.01, 0.018, 0.12]), rng)
-        rows += [(2 * k, a), (2 * k + 1, b)]
-        pairs[k] = jaccard(a, b)
-    rows += [(1000, None), (1001, ""), (1002, " "), (None, rows[0][1]), (1003, rows[6][1]), (1003, rows[6][1])]
-    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(corpus(spark, rows), bucket=bucket).collect()]
-    of = dict(got)
-    assert len(got) == 242 and of[1003] == of[6] and not {1000, 1001, 1002, None} & set(of)
-    linked = {k for k in pairs if of[2 * k] == of[2 * k + 1] == 2 * k}
-    near = [k for k in pairs if pairs[k] >= 0.8]
-    assert len(near) > 60 and all(k in linked for k in pairs if pairs[k] >= 0.93)
-    assert sum(k in linked for k in near) >= (0.9 if bucket == simhash.BUCKET else 0.8) * len(near)
-    assert not any(k in linked for k in pairs if pairs[k] < 0.6)
-    assert all(of[d] in (d, d - 1) for d in range(240) if d % 2)
-
-
-def test_fingerprints_that_agree_in_the_keyed_word_and_outnumber_a_bucket(spark):
-    """All links of a hot bucket, whole and by pairs of blocks, though no mask of its word divides it."""
-    rng = random.Random(5)
-    centres = [[rng.getrandbits(63) for _ in range(3)] for _ in range(4)]
-    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(63), n))
-    prints = sorted({(77, *[flip(x, rng.randrange(14)) for x in rng.choice(centres)]) for _ in range(3000)})
-    w = np.array(prints, np.uint64)
-    roots = list(range(len(w)))
-
-    def root(i):
-        while roots[i] != i:
-            i = roots[i]
-        return i
-
-    for i in range(len(w)):
-        for j in np.flatnonzero(np.bitwise_count(w[:i] ^ w[i]).sum(axis=1) <= 20):
-            a, b = sorted((root(i), root(int(j))))
-            roots[b] = a
-    names = ["w0", "w1", "w2", "w3"]
-    df = spark.createDataFrame(prints, "w0 long, w1 long, w2 long, w3 long")
-    ids = [r.id for r in df.select(simhash.node_id(names).alias("id")).collect()]
-    for bucket in (2048, 8):
-        links = simhash.near_links(df, names, 7, total=20, keyed=1, parts=2, bucket=bucket)
-        got = {r.node: r.root for r in connected_components(links).collect()}
-        groups = {}
-        for i, node in enumerate(ids):
-            groups.setdefault(got.get(node, node), set()).add(root(i))
-        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({root(i) for i in range(len(w))})
-
-
-def test_twenty_thousand_variants_of_one_text(spark):
-    rng = random.Random(6)
-    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
-    docs = spark.range(20000).selectExpr("id AS doc_id", f"concat('{say(300)} own', id, ' {say(300)}') AS text")
-    assert {r.component_id for r in simhash.near_duplicates(docs).select("component_id").distinct().collect()} == {0}
-
-
 @pytest.mark.parametrize("parts", [1, 2])
 def test_sliced_masks_cover_the_radius_at_every_level(parts):
     rng = random.Random(2)
