@@ -9,7 +9,7 @@ from chunklake.llm.classifier import grades, score, train
 from chunklake.llm.decontaminate import contamination
 from chunklake.llm.mixing import mix
 from chunklake.llm.shards import shard_by_bytes
-from chunklake.llm.simhash import near_duplicates
+from chunklake.llm.neardup import near_duplicates
 from chunklake.session import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
