@@ -6,7 +6,8 @@ In a cell the occurrences are sorted by what follows (their suffixes). Level j t
 bytes before the anchor: extending all intervals backward by one byte is a stable regrouping by the byte before, as the
 Burrows-Wheeler transform gives it. So common prefixes grow level by level, and intervals of one are dropped. Suffixes of an
 interval match over ``length`` bytes if their right sides agree over what is missing, which the common prefixes of neighbours
-tell. The expansion stops at the threshold: longer prefixes are never derived.
+tell. The expansion stops at the threshold: longer prefixes are never derived. Several lengths share one expansion: anchors are dealt for the
+shortest, so every longer string holds one too, and contexts reach as far as the longest needs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from chunklake.llm.text import pieces, slice_hashes, small_batches
 from chunklake.session import discard, materialize
 
 #: Bytes of an anchor gram.
-GRAM = 120
+GRAM = 80
 #: Distinct contexts that one cell may bring into a task; cells of more are divided.
 CELL = 100_000
 #: Contexts that the expansion handles at once.
@@ -62,9 +63,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     return found, h[found]
 
 
-def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram hash, context hash, doc_id, tag, pos, after): every anchor; ``after`` counts the context's bytes behind the gram."""
-    reach = length - gram
+def _anchor_rows(texts: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
+    """(gram hash, context hash, doc_id, tag, pos, after): every anchor; ``after`` counts the context's bytes behind the gram, at most ``reach``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in pieces(batches, "text"):
@@ -92,35 +92,29 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, c long, doc_id long, tag int, pos int, after int")
 
 
-CONTEXT = "cell long, low int, high int, doc_id long, tag int, pos int, single boolean, before binary, behind binary"
+CONTEXT = "cell long, goal int, low int, high int, doc_id long, tag int, pos int, single boolean, before binary, behind binary"
 
 
-def _contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes around the wanted anchors (h, doc_id, tag, pos, single): ``before`` in reverse, ``behind`` from the gram on."""
-    reach = length - gram
+def _contexts(texts: DataFrame, wanted: DataFrame, reach: int, gram: int) -> DataFrame:
+    """The bytes around the wanted anchors (h, doc_id, tag, pos, single): ``before`` in reverse, ``behind`` from the gram on. goal 0: for all lengths."""
     per_doc = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("h", "pos", "single")).alias("at"))
     joined = texts.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
     joined = joined.select("doc_id", "tag", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, tag, text, at in zip(*(batch.column(k) for k in range(4)), strict=True):
-                raw = text.as_py().encode()
-                seen = at.as_py()
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "cell": pa.array([x["h"] for x in seen], pa.int64()),
-                        "low": pa.array([0] * len(seen), pa.int32()),
-                        "high": pa.array([reach] * len(seen), pa.int32()),
-                        "doc_id": pa.array([doc.as_py()] * len(seen), pa.int64()),
-                        "tag": pa.array([tag.as_py()] * len(seen), pa.int32()),
-                        "pos": pa.array([x["pos"] for x in seen], pa.int32()),
-                        "single": pa.array([x["single"] for x in seen], pa.bool_()),
-                        "before": pa.array([raw[max(0, x["pos"] - reach) : x["pos"]][::-1] for x in seen], pa.binary()),
-                        "behind": pa.array([raw[x["pos"] : x["pos"] + gram + reach] for x in seen], pa.binary()),
-                    }
-                )
-
+        for rows, data, off in pieces(batches, "text"):
+            at = rows.column(3)
+            row = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+            seen, raw, pick = at.flatten(), data.tobytes(), pa.array(row)
+            pos, begin, end = seen.field("pos").to_numpy().astype(np.int64), off[row], off[row + 1]
+            own = pos + begin
+            before = [raw[a:b][::-1] for a, b in zip(np.maximum(begin, own - reach).tolist(), own.tolist(), strict=True)]
+            behind = [raw[a:b] for a, b in zip(own.tolist(), np.minimum(end, own + gram + reach).tolist(), strict=True)]
+            level = lambda x: pa.array(np.full(len(row), x, np.int32))
+            cols = [seen.field("h"), level(0), level(0), level(reach), rows.column(0).take(pick), rows.column(1).take(pick), seen.field("pos"), seen.field("single")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(before, pa.binary()), pa.array(behind, pa.binary())], names)
+
+    names = [c.split()[0] for c in CONTEXT.split(", ")]
     return joined.mapInArrow(run, CONTEXT)
 
 
@@ -133,11 +127,11 @@ def _matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def expand(cell: np.ndarray, low: np.ndarray, high: np.ndarray, before: np.ndarray, n_before: np.ndarray, behind: np.ndarray, n_behind: np.ndarray) -> np.ndarray:
-    """Per context and level j: does the string that starts j bytes before its gram start in another context of its cell too?"""
+def expand(cell: np.ndarray, goal: np.ndarray, low: np.ndarray, high: np.ndarray, before: np.ndarray, n_before: np.ndarray, behind: np.ndarray, n_behind: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """Per length, context and level j: does the string of that length that starts j bytes before the gram start in another context of the cell too?"""
     m, reach, width = len(cell), before.shape[1], behind.shape[1]
     gram = width - reach
-    match = np.zeros((m, reach + 1), bool)
+    matches = [np.zeros((m, n - gram + 1), bool) for n in lengths]
     keyed = np.concatenate([cell.astype(np.int64).view(np.uint64).astype(">u8").view(np.uint8).reshape(m, 8), behind], axis=1)
     order = np.argsort(np.ascontiguousarray(keyed).view(f"S{8 + width}").ravel(), kind="stable")
     same = behind[order[1:]] == behind[order[:-1]]
@@ -151,13 +145,16 @@ def expand(cell: np.ndarray, low: np.ndarray, high: np.ndarray, before: np.ndarr
         at, interval = at[alive], interval[alive]
         if not len(at):
             break
-        missing = gram + reach - j
-        kind = np.concatenate([[0], np.cumsum(common < missing)])
         rows = order[at]
-        fit = np.flatnonzero((n_behind[rows] >= missing) & (low[rows] <= j) & (j <= high[rows]))
-        twin = np.flatnonzero((interval[fit[1:]] == interval[fit[:-1]]) & (kind[at[fit[1:]]] == kind[at[fit[:-1]]]))
-        match[rows[fit[twin]], j] = True
-        match[rows[fit[twin + 1]], j] = True
+        for n, match in zip(lengths, matches, strict=True):
+            missing = n - j
+            if missing < gram:
+                continue
+            kind = np.concatenate([[0], np.cumsum(common < missing)])
+            fit = np.flatnonzero((n_behind[rows] >= missing) & (low[rows] <= j) & (j <= high[rows]) & ((goal[rows] == 0) | (goal[rows] == n)))
+            twin = np.flatnonzero((interval[fit[1:]] == interval[fit[:-1]]) & (kind[at[fit[1:]]] == kind[at[fit[:-1]]]))
+            match[rows[fit[twin]], j] = True
+            match[rows[fit[twin + 1]], j] = True
         if j == reach:
             break
         more = np.flatnonzero((n_before[rows] > j) & (high[rows] > j))
@@ -166,29 +163,29 @@ def expand(cell: np.ndarray, low: np.ndarray, high: np.ndarray, before: np.ndarr
         by = np.argsort(key, kind="stable")
         at, key = at[by], key[by]
         interval = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
-    return match
+    return matches
 
 
-def _spans(contexts: DataFrame, length: int, gram: int, batch_rows: int = BATCH) -> DataFrame:
-    """Spans of the matching strings of single contexts: (doc_id, tag, start, end). Cells are whole within a task."""
-    reach = length - gram
+def _spans(contexts: DataFrame, lengths: list[int], gram: int, batch_rows: int = BATCH) -> DataFrame:
+    """Spans of the matching strings of single contexts: (doc_id, tag, start, end, size). Cells are whole within a task."""
+    reach = max(lengths) - gram
+    names = ["doc_id", "tag", "start", "end", "size"]
 
-    def out(t: pa.Table) -> pa.RecordBatch:
+    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         col = lambda n: t[n].to_numpy(zero_copy_only=False)
         flat = lambda n: pa.concat_arrays(t[n].chunks)
         before, n_before = _matrix(flat("before"), reach)
         behind, n_behind = _matrix(flat("behind"), gram + reach)
-        match = expand(col("cell"), col("low"), col("high"), before, n_before, behind, n_behind)
-        match[~col("single").astype(bool)] = False
-        edge = np.diff(np.pad(match, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, first = np.nonzero(edge == 1)
-        _, last = np.nonzero(edge == -1)
-        pos = col("pos").astype(np.int64)[row]
-        pick = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [flat("doc_id").take(pick), flat("tag").take(pick), pa.array(pos - last + 1), pa.array(pos - first + length)], ["doc_id", "tag", "start", "end"]
-        )
+        matches = expand(col("cell"), col("goal"), col("low"), col("high"), before, n_before, behind, n_behind, lengths)
+        for n, match in zip(lengths, matches, strict=True):
+            match[~col("single").astype(bool)] = False
+            edge = np.diff(np.pad(match, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            row, first = np.nonzero(edge == 1)
+            _, last = np.nonzero(edge == -1)
+            pos, pick = col("pos").astype(np.int64)[row], pa.array(row)
+            size = pa.array(np.full(len(row), n, np.int32))
+            yield pa.RecordBatch.from_arrays([flat("doc_id").take(pick), flat("tag").take(pick), pa.array(pos - last + 1), pa.array(pos - first + n), size], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -200,51 +197,55 @@ def _spans(contexts: DataFrame, length: int, gram: int, batch_rows: int = BATCH)
             cells = t["cell"].to_numpy()
             cut = int(np.flatnonzero(cells != cells[-1])[-1]) + 1 if cells[0] != cells[-1] else 0
             if cut:
-                yield out(t.slice(0, cut))
+                yield from out(t.slice(0, cut))
                 kept = t.slice(cut).to_batches()
         if kept and (t := pa.Table.from_batches(kept)).num_rows:
-            yield out(t)
+            yield from out(t)
 
-    return contexts.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "doc_id long, tag int, start long, end long")
+    return contexts.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "doc_id long, tag int, start long, end long, size int")
 
 
-def _halves(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Divide cells by level: both halves of [low, high], each by the bytes that all strings of the half have."""
-    reach = length - gram
+def _halves(contexts: DataFrame, lengths: list[int], gram: int) -> DataFrame:
+    """Divide cells by length and level: both halves of [low, high], each by the bytes that all strings of the half have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             out = []
             for r in rows:
-                mid = (r["low"] + r["high"]) // 2
-                for a, b in ((r["low"], mid), (mid + 1, r["high"])):
-                    need = gram + reach - b
-                    if len(r["before"]) >= a and len(r["behind"]) >= need:
-                        core = r["before"][:a] + r["behind"][:need]
-                        cell = np.array([xxhash.xxh3_64_intdigest(core, (a << 20) + b)], np.uint64).view(np.int64)[0]
-                        out.append(r | {"cell": int(cell), "low": a, "high": b})
+                for n in [r["goal"]] if r["goal"] else lengths:
+                    low, high = (r["low"], r["high"]) if r["goal"] else (0, n - gram)
+                    mid = (low + high) // 2
+                    for a, b in ((low, mid), (mid + 1, high)):
+                        need = n - b
+                        if a <= b and len(r["before"]) >= a and len(r["behind"]) >= need:
+                            core = r["before"][:a] + r["behind"][:need]
+                            cell = np.array([xxhash.xxh3_64_intdigest(core, (n << 40) + (a << 20) + b)], np.uint64).view(np.int64)[0]
+                            out.append(r | {"cell": int(cell), "goal": n, "low": a, "high": b})
             yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
     return contexts.mapInArrow(run, CONTEXT)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, cell: int = CELL, batch_rows: int = BATCH) -> DataFrame:
-    """Spans (doc_id, tag, start, end) whose union is all bytes covered by strings of ``length`` bytes that start twice.
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, cell: int = CELL, batch_rows: int = BATCH, report: int | None = None) -> DataFrame:
+    """Spans (doc_id, tag, start, end, size) whose union, per size, is all bytes covered by strings of ``size`` bytes that start twice.
 
-    tag is a hash of the text, so rows that share a doc_id stay apart. Texts are read whole as UTF-8, strings never cross
-    rows. Contexts (up to length - gram bytes on either side) that occur more than once match over all their
+    Sizes are ``length`` and, if given, the shorter ``report``. tag is a hash of the text, so rows that share a doc_id stay apart. Texts are read whole as
+    UTF-8, strings never cross rows. Contexts (up to length - gram bytes on either side) that occur more than once match over all their
     strings, and only the others of a gram with several contexts are compared by their bytes; one row per such context is shuffled.
-    Cells of more than ``cell`` contexts are divided by levels and by the bytes common to a half, down to single levels, where
+    Cells of more than ``cell`` contexts are divided by lengths, levels and the bytes common to a half, down to single levels, where
     counting is enough; so no gram gathers its contexts in one task.
     """
     small_batches(docs.sparkSession)
-    gram = min(gram, length)
+    lengths = sorted({length, min(length, report or length)})
+    gram = min(gram, lengths[0])
+    reach = length - gram
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text")).where(
-        F.octet_length("text") >= length
+        F.octet_length("text") >= lengths[0]
     )
-    found = materialize(_anchor_rows(texts, length, gram), "anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+    found = materialize(_anchor_rows(texts, lengths[0], gram, reach), "anchors")
+    # counts are read as tables, which leaves the joins with them free to split hot grams
+    often = materialize(found.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"), "anchor-counts")
     shared = materialize(found.join(often, "h"), "anchors-shared")
     discard(found)
     contexts = shared.groupBy("h", "c").agg(
@@ -252,35 +253,40 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, cell: i
     )
     contexts = materialize(contexts, "anchor-contexts")
     copies = shared.join(contexts.where("n > 1").select("h", "c"), ["h", "c"])
-    reach = length - gram
-    spans = copies.select(
+    copies = copies.select(
         "doc_id",
         "tag",
         (F.col("pos") - F.least(F.col("pos"), F.lit(reach))).cast("long").alias("start"),
         (F.col("pos") + gram + F.col("after")).cast("long").alias("end"),
+        F.explode(F.array(*[F.lit(n) for n in lengths])).alias("size"),
     )
+    spans = copies.where(F.col("end") - F.col("start") >= F.col("size"))
     mixed = contexts.groupBy("h").agg(F.count("*").alias("_c"), F.min("n").alias("_least")).where("_c > 1 AND _least = 1")
-    wanted = contexts.join(mixed.select("h", "_c"), "h").select("h", "at.doc_id", "at.tag", "at.pos", (F.col("n") == 1).alias("single"), "_c")
-    todo = materialize(_contexts(texts, wanted, length, gram), "anchor-bytes")
+    mixed = materialize(mixed.select("h"), "anchor-mixed")
+    wanted = contexts.join(mixed, "h").select("h", "at.doc_id", "at.tag", "at.pos", (F.col("n") == 1).alias("single"))
+    todo = materialize(_contexts(texts, wanted, reach, gram), "anchor-bytes")
     while True:
-        sizes = todo.groupBy("cell").agg(F.count("*").alias("_m"), (F.min("low") == F.max("high")).alias("_flat")).where("_m > 1")
+        flat = (F.min("low") == F.max("high")) & (F.min("goal") > 0)
+        sizes = materialize(todo.groupBy("cell").agg(F.count("*").alias("_m"), flat.alias("_flat")).where("_m > 1"), "anchor-cells")
         sized = todo.join(sizes, "cell")
-        spans = spans.unionByName(_spans(sized.where((F.col("_m") <= cell) & ~F.col("_flat")).drop("_m", "_flat"), length, gram, batch_rows))
+        spans = spans.unionByName(_spans(sized.where((F.col("_m") <= cell) & ~F.col("_flat")).drop("_m", "_flat"), lengths, gram, batch_rows))
         one_level = sized.where(F.col("_flat") & F.col("single"))
-        spans = spans.unionByName(
-            one_level.select("doc_id", "tag", (F.col("pos") - F.col("low")).cast("long").alias("start"), (F.col("pos") - F.col("low") + length).cast("long").alias("end"))
-        )
+        start = (F.col("pos") - F.col("low")).cast("long")
+        spans = spans.unionByName(one_level.select("doc_id", "tag", start.alias("start"), (start + F.col("goal")).alias("end"), F.col("goal").alias("size")))
         large = sized.where((F.col("_m") > cell) & ~F.col("_flat")).drop("_m", "_flat")
         if sizes.where((F.col("_m") > cell) & ~F.col("_flat")).isEmpty():
             return spans
-        todo = materialize(_halves(large, length, gram), "anchor-halves")
+        todo = materialize(_halves(large, lengths, gram), "anchor-halves")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, cell: int = CELL) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, cell: int = CELL, report: int | None = None) -> DataFrame:
     """Every row's text without the bytes covered by repeated strings of ``length`` bytes, judged on the input.
 
+    ``report`` is a shorter length: bytes covered by repeated strings of that many bytes are not removed but counted in n_marked.
+
     Nulls: a null text counts as empty; null ids are kept. Texts shorter than ``length`` lose nothing. Repeated rows are
     documents that repeat each other. Empty table: no rows. Other columns are ignored. Returns the columns of cut_spans.
     """
-    spans = repeated_spans(docs, length, gram, cell)
-    return cut_spans(docs.select("doc_id", "text").withColumn("tag", F.hash("text")), spans, by=["doc_id", "tag"])
+    spans = repeated_spans(docs, length, gram, cell, report=report)
+    spans = spans.withColumn("mark", F.col("size") < length)
+    return cut_spans(docs.select("doc_id", "text").withColumn("tag", F.hash("text")), spans, by=["doc_id", "tag"], mark="mark")

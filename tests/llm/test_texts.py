@@ -58,9 +58,11 @@ def repeat_rows(seed):
 def test_repeated_bytes(spark, seed, cell, batch):
     rows = repeat_rows(seed)
     docs = corpus(spark, rows)
-    spans = repeats.repeated_spans(docs, 60, 20, cell, batch)
-    got = cut_spans(docs.withColumn("tag", F.hash("text")), spans, ["doc_id", "tag"]).collect()
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 60)
+    spans = repeats.repeated_spans(docs, 60, 20, cell, batch, report=35).withColumn("mark", F.col("size") < 60)
+    got = cut_spans(docs.withColumn("tag", F.hash("text")), spans, ["doc_id", "tag"], "mark").collect()
+    want = brute_repeats(rows, 60)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert sorted((r.doc_id, r.n_bytes, r.n_marked) for r in got) == sorted(r[:3] for r in brute_repeats(rows, 35)) != sorted(r[:3] for r in want)
 
 
 def test_repeated_bytes_of_odd_rows(spark):
