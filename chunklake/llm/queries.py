@@ -84,8 +84,8 @@ def op4_mixing(spark, sf):
 
 @query()
 def op5_repeats(spark, sf):
-    # passages of over 50 words can be shorter than 400 bytes: repeats from 220 bytes on stay in the text but are counted
-    cut = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), length=400, report=220)
+    # passages of over 50 words can be shorter than 400 bytes: repeats from 260 bytes on stay in the text but are counted
+    cut = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), length=400, report=260)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("n_marked").alias("n_repeated"))
 
 
