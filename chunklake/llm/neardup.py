@@ -18,7 +18,7 @@ from chunklake.session import discard, materialize
 PRINTS, RADIUS, BITS = 3, 7, 48
 #: Sets up to this size are few bits' worth; pairs with one of them meet by their shingles instead.
 SHORT = 40
-#: Nearest candidates that a set tries in the first round; four times as many in each later one.
+#: Nearest candidates that a set tries in the first round; sixteen times as many in each later one.
 TRIES = 3
 _TABLE_BITS = 7  # of a bucket's number, for the table
 
@@ -254,8 +254,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words_in_shingle: int =
     Texts are lower-cased (A-Z) and split at space and 0x09-0x0D. Rows of equal sets are one node. Sets have three SimHashes; covering masks of
     each put every pair that differs in at most RADIUS bits of one of them into a common bucket, and most other pairs at the threshold too. Pairs of a bucket
     that differ in at most ``bits`` of all bits are candidates. Each node tries its nearest few; their whole sets are compared, so a link
-    is never a guess. Then nodes that have more candidates in other components try the next ones, four times as many each round, until none are
-    left: a dense group costs a few tries per member, not all its pairs. Sets of up to SHORT shingles meet by prefix shingles and miss nothing.
+    is never a guess. Then nodes that have more candidates outside their component of the first round try the next ones, sixteen times as many each
+    round, until none are left: a dense group costs a few tries per member, not all its pairs. Sets of up to SHORT shingles meet by prefix shingles and miss nothing.
 
     Nulls: rows with a null id, and null, empty or blank texts, are left out. Ties: component_id is the smallest doc_id. Repeated rows come
     out as often as they go in, very long texts are read whole, empty tables give no rows, other columns are ignored.
@@ -272,12 +272,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words_in_shingle: int =
         pairs = _try_pairs(asked, names, bits, tries, bucket)
         new = pairs.where("bits >= 0").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
         found = _verified(new, table, least)
-        if roots is None or not found.isEmpty():
+        if roots is None:
+            roots = connected_components(links[0].unionByName(found))
+        elif not found.isEmpty():
             links.append(found)
-            edges = links[0]
-            for more in links[1:]:
-                edges = edges.unionByName(more)
-            roots = connected_components(edges)
         at = F.max(F.when(F.col("bits") >= 0, F.struct("bits", "q")))
         told = pairs.groupBy("p").agg(F.min("bits").alias("_least"), F.max("rank").alias("_rank"), at.alias("_at"))
         if told.where(f"_least < 0 OR _rank > {tries}").isEmpty():
@@ -295,7 +293,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words_in_shingle: int =
         universe = materialize(state, "near-state")
         labels = universe.join(roots, "node", "left").select("node", "tried", "last", F.coalesce("root", "node").alias("comp"))
         asked = labels.join(nodes.select("node", *names), "node")
-        tries *= 4
+        tries *= 16
+    if len(links) > 1:  # the first round's components as stars, joined by what later rounds have found
+        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        for more in links[1:]:
+            edges = edges.unionByName(more)
+        roots = connected_components(edges)
     rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "near-smallest")
     of_node = rooted.join(smallest, "root").select("node", "component_id")
