@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Extension classes of the type filter and of the preview (fixed values).
+# Extension classes of the type filter (fixed values). An archive format of one's own is added by the ``types`` of type_class.
 TYPES = {
-    "images": ["png", "jpg", "jpeg", "gif", "webp", "svg", "bmp", "ico"],
-    "video": ["mp4", "mov", "avi", "mkv", "webm"],
-    "audio": ["mp3", "wav", "flac", "ogg", "m4a"],
-    "docs": ["pdf", "doc", "docx", "txt", "md", "rtf", "odt"],
+    "images": ["jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "bmp"],
+    "video": ["mp4", "mov", "avi", "mkv", "webm", "m4v"],
+    "audio": ["mp3", "wav", "flac", "m4a", "ogg", "aac"],
+    "docs": ["pdf", "txt", "md", "json", "yaml", "toml", "rs", "ts", "tsx", "js", "csv", "doc", "docx"],
     "archives": ["zip", "tar", "gz", "7z", "rar"],
 }
 

@@ -195,14 +195,18 @@ def recent_top4(spark, sf):
     return catalog.recent(rel.files(spark, sf).select("archive_id", "path", "mtime"), 4)
 
 
-_TYPES = " ".join(f"WHEN ext IN ({', '.join(map(repr, e))}) THEN '{k}'" for k, e in fn.TYPES.items())
+_TYPES = """WHEN ext IN ('jpg', 'jpeg', 'png', 'gif', 'webp', 'avif', 'svg', 'bmp') THEN 'images'
+  WHEN ext IN ('mp4', 'mov', 'avi', 'mkv', 'webm', 'm4v') THEN 'video'
+  WHEN ext IN ('mp3', 'wav', 'flac', 'm4a', 'ogg', 'aac') THEN 'audio'
+  WHEN ext IN ('pdf', 'txt', 'md', 'json', 'yaml', 'toml', 'rs', 'ts', 'tsx', 'js', 'csv', 'doc', 'docx') THEN 'docs'
+  WHEN ext IN ('zip', 'tar', 'gz', '7z', 'rar') THEN 'archives'"""
 
 
 @query(f"""WITH {FILES_SQL}, x AS (SELECT *, lower(split_part(path, '.', -1)) AS ext FROM files)
 SELECT CASE {_TYPES} ELSE 'other' END AS type, ext, count(*) AS files, CAST(sum(u_size) AS BIGINT) AS bytes,
-  count(*) FILTER (WHERE ext IN ({", ".join(map(repr, fn.TYPES["images"]))}) AND u_size < 8388608) AS thumbnails FROM x GROUP BY 1, 2""")
+  count(*) FILTER (WHERE ext IN ('jpg', 'jpeg', 'png', 'gif', 'webp', 'avif', 'svg', 'bmp') AND u_size < 8388608) AS thumbnails FROM x GROUP BY 1, 2""")
 def type_filter(spark, sf):
-    """P8, P9, P25, F25."""
+    """P8, P25, F25."""
     p = F.col("path")
     f = rel.files(spark, sf).select(fn.type_class(p).alias("type"), fn.extension(p).alias("ext"), "u_size", fn.has_thumbnail(p, F.col("u_size")).alias("t"))
     return f.groupBy("type", "ext").agg(F.count("*").alias("files"), F.sum("u_size").alias("bytes"), F.count_if("t").alias("thumbnails"))
