@@ -14,6 +14,18 @@ TYPES = {
     "archives": ["zip", "tar", "gz", "7z", "rar"],
 }
 
+# Extension classes of the preview, which differ from the filter's (fixed values).
+PREVIEWS = {
+    "image": ["jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "bmp"],
+    "video": ["mp4", "mov", "webm", "mkv", "m4v"],
+    "audio": ["mp3", "wav", "flac", "m4a", "ogg", "aac"],
+    "pdf": ["pdf"],
+    "text": [
+        "txt", "md", "json", "yaml", "yml", "toml", "rs", "ts", "tsx", "js", "jsx", "py", "sh", "log", "csv", "xml", "html", "css", "go", "java",
+    ],
+    "archive": ["zip", "tar", "gz", "7z", "rar"],
+}
+
 
 def extension(path: Column) -> Column:
     """The lower-cased part after the last dot; a path without one is its own extension."""
@@ -32,6 +44,31 @@ def type_class(path: Column, types: dict[str, list[str]] | None = None) -> Colum
     return out.otherwise("other")
 
 
+def preview_class(path: Column) -> Column:
+    """How a file is previewed; "other" if it isn't."""
+    return type_class(path, PREVIEWS)
+
+
+def matches_path(path: Column, wanted: str) -> Column:
+    """An optional filter: an empty one matches every path."""
+    return F.lit(wanted == "") | (path == wanted)
+
+
+def saved_pct(logical: Column, savings: Column) -> Column:
+    """Percentage of the logical bytes that is saved, 0 or more."""
+    return F.when(logical > 0, F.greatest(F.lit(0.0), savings / logical * 100)).otherwise(0.0)
+
+
+def stored_pct(logical: Column, stored: Column) -> Column:
+    """Percentage of the logical bytes that is stored, 100 or less; 100 without any bytes."""
+    return F.when(logical > 0, F.least(F.lit(100.0), stored / logical * 100)).otherwise(100.0)
+
+
+def list_line(path: Column, encrypted: Column, u_size: Column, c_size: Column, chunks: Column) -> Column:
+    """One line of a text listing."""
+    return F.format_string("%s%s  u=%d  c=%d  chunks=%d", path, F.when(encrypted, " [E]").otherwise(""), u_size, c_size, chunks)
+
+
 def has_thumbnail(path: Column, size: Column, most: int = 8 << 20) -> Column:
     return extension(path).isin(TYPES["images"]) & (size < most)
 

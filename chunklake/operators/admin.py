@@ -16,6 +16,19 @@ def list_archives(archives: DataFrame, labels: DataFrame, stats: DataFrame, tena
     return joined.withColumn("name", label_of(F.col("_own"), F.col("label"), F.col("encrypted"), F.col("archive_id"))).drop("_own")
 
 
+def upsert_labels(labels: DataFrame, changes: DataFrame) -> DataFrame:
+    """labels (archive_id, label, updated_at) after changes of the same form: the last write of an archive wins, ties by label."""
+    both = labels.select("archive_id", "label", "updated_at").unionByName(changes.select("archive_id", "label", "updated_at"))
+    last = both.groupBy("archive_id").agg(F.max(F.struct("updated_at", "label")).alias("_l"))
+    return last.select("archive_id", "_l.label", "_l.updated_at")
+
+
+def issue(archives: DataFrame, new: DataFrame) -> DataFrame:
+    """archives with the new, empty ones; an empty label, owner or note is none. An id that exists is not issued again."""
+    blank = {c: F.nullif(F.col(c), F.lit("")) for c in ("label", "owner", "notes")}
+    return archives.unionByName(new.join(archives.select("archive_id"), "archive_id", "left_anti").withColumns(blank), allowMissingColumns=True)
+
+
 def resolve_keys(keys: DataFrame, users: DataFrame, tenants: DataFrame, now: int) -> DataFrame:
     """Live API keys with their active user and tenant."""
     live = keys.where(is_live(F.col("revoked"), F.col("expires_at"), F.lit(now)))

@@ -26,6 +26,11 @@ def list_files(files: DataFrame, refs: DataFrame, chunks: DataFrame | None = Non
     return out.select(*by, "u_size", *named)
 
 
+def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (path) with the file of that path; ``found`` is false where there is none."""
+    return wanted.join(files.withColumn("_hit", F.lit(True)), "path", "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
 def page(rows: DataFrame, order: list[Column], offset: int = 0, limit: int = 0) -> DataFrame:
     """A page of rows in order; limit 0: all rows. For deep pages pass the last key seen as a filter instead."""
     ordered = rows.orderBy(*order)

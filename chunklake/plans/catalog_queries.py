@@ -54,8 +54,8 @@ def dedup_by_source(spark, sf):
 @query(f"WITH {FILES_SQL} SELECT archive_id, path, u_size, CAST(CASE WHEN u_size > 0 THEN 1 ELSE 0 END AS BIGINT) AS chunks FROM files")
 def list_files(spark, sf):
     """Files with their number of references; whole documents are single chunks at the default sizes."""
-    f = rel.files(spark, sf)
-    return f.select("archive_id", "path", "u_size", F.when(F.col("u_size") > 0, 1).otherwise(0).cast("long").alias("chunks"))
+    f = rel.files(spark, sf).select("archive_id", "path", "u_size")
+    return catalog.list_files(f, f.where("u_size > 0").withColumn("id", F.lit(0)), keys=("archive_id",))
 
 
 @query(f"""WITH {REFS_SQL}, {CHUNKS_SQL}
@@ -64,10 +64,19 @@ FROM refs r JOIN chunks c USING (id) GROUP BY archive_id, path""")
 def list_c_size(spark, sf):
     """Stored size per file."""
     refs = rel.refs(spark, sf)
-    sizes = refs.groupBy("archive_id", "path").agg(F.sum("u_size").alias("u_size"))
-    c = rel.chunks(spark, sf)
-    used = refs.join(c.select("id", "c_size"), "id").groupBy("archive_id", "path").agg(F.count("*").alias("chunks"), F.sum("c_size").alias("c_size"))
-    return sizes.join(used, ["archive_id", "path"])
+    files = refs.groupBy("archive_id", "path").agg(F.sum("u_size").alias("u_size"))
+    # every archive refers to the one chunk table
+    used = refs.drop("u_size").join(rel.chunks(spark, sf).select("id", "c_size"), "id")
+    return catalog.list_files(files, used, used.select("archive_id", "id", "c_size").distinct(), keys=("archive_id",))
+
+
+@query(f"""WITH {REFS_SQL}, {CHUNKS_SQL}
+SELECT path || CASE WHEN archive_id % 2 = 0 THEN ' [E]' ELSE '' END || '  u=' || CAST(sum(r.u_size) AS BIGINT) || '  c=' || CAST(sum(c_size) AS BIGINT) || '  chunks=' || count(*) AS line
+FROM refs r JOIN chunks c USING (id) GROUP BY archive_id, path""")
+def list_lines(spark, sf):
+    """The listing as text, encrypted archives marked."""
+    rows = list_c_size(spark, sf)
+    return rows.select(fn.list_line(F.col("path"), F.col("archive_id") % 2 == 0, F.col("u_size"), F.col("c_size"), F.col("chunks")).alias("line"))
 
 
 @query(f"WITH {REFS_SQL} SELECT archive_id, path, CAST(list(id ORDER BY ordinal) AS VARCHAR) AS ids FROM refs GROUP BY archive_id, path")
@@ -81,15 +90,13 @@ def list_entries(spark, sf):
 @query(f"""WITH {REFS_SQL}, {CHUNKS_SQL}
 SELECT archive_id, path, ordinal, id, r.u_size, c_size,
   CAST(coalesce(sum(r.u_size) OVER (PARTITION BY archive_id, path ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS file_off,
-  round(sum(r.u_size) OVER (PARTITION BY archive_id, path ORDER BY ordinal) * 100.0 / greatest(sum(r.u_size) OVER (PARTITION BY archive_id, path), 1), 3) AS pct_end
+  CAST(CAST(sum(r.u_size) OVER (PARTITION BY archive_id, path ORDER BY ordinal) / greatest(sum(r.u_size) OVER (PARTITION BY archive_id, path), 1) * 100 AS FLOAT) AS DOUBLE) AS pct_end
 FROM refs r JOIN chunks c USING (id)""")
 def chunk_map(spark, sf):
     """J1, W1, P22."""
     chunks = rel.chunks(spark, sf).withColumns({"codec": F.lit(1), "data_off": F.lit(0)})
     mapped = catalog.chunk_map(rel.refs(spark, sf), chunks)
-    out = mapped.select("archive_id", "path", "ordinal", "id", "u_size", "c_size", "file_off")
-    total = F.sum("u_size").over(Window.partitionBy("archive_id", "path"))
-    return out.withColumn("pct_end", F.round((F.col("file_off") + F.col("u_size")) * 100.0 / F.greatest(total, F.lit(1)), 3))
+    return mapped.select("archive_id", "path", "ordinal", "id", "u_size", "c_size", "file_off", F.col("pct_end").cast("double").alias("pct_end"))
 
 
 @query(f"""WITH {CHUNKS_SQL} SELECT id, c_size, CAST(80 + coalesce(sum(c_size) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS data_off FROM chunks""")
@@ -164,6 +171,57 @@ def storage_overview(spark, sf):
     ).withColumn("direction", F.when(F.col("saved_pct") >= 5, "down").otherwise("flat"))
 
 
+@query(f"""WITH {FILES_SQL}, h AS (SELECT archive_id, sha256(text) AS hash, max(u_size) AS u, sum(u_size) AS l FROM files GROUP BY 1, 2),
+  s AS (SELECT archive_id, CAST(sum(l) AS BIGINT) AS logical, CAST(sum(u) AS BIGINT) AS stored FROM h GROUP BY 1),
+  p AS (SELECT archive_id, CASE WHEN logical > 0 THEN greatest(0, logical - stored) / logical * 100 ELSE 0.0 END AS saved, CASE WHEN logical > 0 THEN least(100.0, stored / logical * 100) ELSE 100.0 END AS kept FROM s)
+SELECT archive_id, round(saved, 6) AS saved_pct, round(kept, 6) AS stored_pct, CAST(floor(saved + 0.5) AS BIGINT) AS saved_whole, CAST(floor(kept + 0.5) AS BIGINT) AS stored_whole FROM p""")
+def vault_percentages(spark, sf):
+    """Saved and stored percentages of each archive, exact and whole."""
+    f = materialize(rel.files(spark, sf).select("archive_id", "path", "u_size", F.sha2("text", 256).alias("hash")), "files")
+    s = catalog.stats(f, f, f.groupBy("archive_id", "hash").agg(F.max("u_size").alias("c_size")), keys=("archive_id",))
+    saved, kept = fn.saved_pct(F.col("logical_bytes"), F.col("savings_bytes")), fn.stored_pct(F.col("logical_bytes"), F.col("stored_bytes"))
+    whole = lambda c: F.floor(c + 0.5).cast("long")
+    return s.select("archive_id", F.round(saved, 6).alias("saved_pct"), F.round(kept, 6).alias("stored_pct"), whole(saved).alias("saved_whole"), whole(kept).alias("stored_whole"))
+
+
+@query("SELECT sha256(text) AS hash, min(lang || '/' || doc_id) AS first_path, count(*) AS copies, CAST(max(octet_length(encode(text))) AS BIGINT) AS u_size FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def dedup_first_path(spark, sf):
+    """Content by address with its first path and number of copies."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    found = catalog.deduplicate(docs.select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content")))
+    return found.withColumn("hash", F.lower(F.hex("hash")))
+
+
+@query(f"""WITH {FILES_SQL}, w AS (SELECT 'en/' || doc_id || '.txt' AS path FROM documents)
+SELECT w.path, u_size, archive_id IS NOT NULL AS found FROM w LEFT JOIN files USING (path)""")
+def point_lookup(spark, sf):
+    """Every wanted path with its file, or not found."""
+    wanted = table(spark, sf, "documents").select(F.concat(F.lit("en/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    return catalog.lookup(rel.files(spark, sf).select("path", "u_size"), wanted)
+
+
+@query(f"""WITH {FILES_SQL}, n AS (SELECT path, mtime, archive_id, row_number() OVER (ORDER BY archive_id, path) AS k FROM files),
+  e AS (SELECT min(k) AS low, max(k) AS high FROM n WHERE mtime = (SELECT max(mtime) FROM files) OR mtime = (SELECT min(mtime) FROM files))
+SELECT archive_id, path FROM n, e WHERE k BETWEEN low AND high""")
+def range_selection(spark, sf):
+    """The listing from its newest to its oldest file, whichever comes first."""
+    f = rel.files(spark, sf).select("archive_id", "path", "mtime")
+    ends = f.agg(F.max("mtime").alias("new"), F.min("mtime").alias("old")).first()
+    return catalog.between(f, [F.col("archive_id"), F.col("path")], F.col("mtime") == ends["new"], F.col("mtime") == ends["old"]).select("archive_id", "path")
+
+
+@query(f"""WITH {FILES_SQL}, x AS (SELECT lower(split_part(path, '.', -1)) AS ext, path FROM files)
+SELECT CASE WHEN ext IN ('jpg', 'jpeg', 'png', 'gif', 'webp', 'avif', 'svg', 'bmp') THEN 'image' WHEN ext IN ('mp4', 'mov', 'webm', 'mkv', 'm4v') THEN 'video'
+  WHEN ext IN ('mp3', 'wav', 'flac', 'm4a', 'ogg', 'aac') THEN 'audio' WHEN ext = 'pdf' THEN 'pdf'
+  WHEN ext IN ('txt', 'md', 'json', 'yaml', 'yml', 'toml', 'rs', 'ts', 'tsx', 'js', 'jsx', 'py', 'sh', 'log', 'csv', 'xml', 'html', 'css', 'go', 'java') THEN 'text'
+  WHEN ext IN ('zip', 'tar', 'gz', '7z', 'rar') THEN 'archive' ELSE 'other' END AS preview, path = 'en/0.txt' AS wanted, count(*) AS files FROM x GROUP BY 1, 2""")
+def preview_classes(spark, sf):
+    """Files by how they are previewed, the one of an optional path filter apart."""
+    p = F.col("path")
+    f = rel.files(spark, sf).where(fn.matches_path(p, ""))
+    return f.groupBy(fn.preview_class(p).alias("preview"), fn.matches_path(p, "en/0.txt").alias("wanted")).agg(F.count("*").alias("files"))
+
+
 @query(f"WITH {FILES_SQL} SELECT archive_id, path, u_size, mtime FROM files WHERE starts_with(path, 'de/1')")
 def ls_prefix(spark, sf):
     """P4, P23."""
@@ -236,6 +294,19 @@ def replay_put_delete(spark, sf):
     return overlay.replay(rel.journal(spark, sf).where("op IN ('put', 'rm')")).select("path", "size", "mtime", "born_seq")
 
 
+@query(f"""WITH {FILES_SQL}, f AS (SELECT archive_id || '/' || path AS path, u_size, sha256(text) AS hash FROM files WHERE text IS NOT NULL),
+  known AS (SELECT sha256(text) AS hash FROM files WHERE starts_with(path, 'de/') AND text IS NOT NULL)
+SELECT path, row_number() OVER (ORDER BY path) - 1 + 1000 AS seq, u_size AS size, hash, hash NOT IN (SELECT hash FROM known) AS fresh FROM f""")
+def put_files(spark, sf):
+    """M1: all documents put into an archive that holds the German ones; only unknown chunks are stored."""
+    f = rel.files(spark, sf).where("text IS NOT NULL")
+    known = f.where(F.col("path").startswith("de/")).select(codecs.content_hash(F.col("text").cast("binary")).alias("hash"))
+    chunked = f.select(F.concat_ws("/", "archive_id", "path").alias("path"), F.lit(0).cast("long").alias("ordinal"), F.col("text").cast("binary").alias("content"), "mtime", "mode")
+    records, refs, fresh = overlay.put(chunked, known, 1000)
+    placed = records.select("path", "size").join(refs, "path").join(fresh.select("hash", F.lit(True).alias("_new")), "hash", "left")
+    return placed.select("path", "seq", "size", F.lower(F.hex("hash")).alias("hash"), F.coalesce("_new", F.lit(False)).alias("fresh"))
+
+
 _MERGED = f"""{JOURNAL_SQL.replace("journal AS", "j0 AS")}, {BASE_SQL},
   journal AS (SELECT seq, path, size, op, dst, mtime FROM j0 UNION ALL SELECT -1, path, u_size, 'put', NULL, mtime FROM base), {LIVE_SQL}"""
 
@@ -244,7 +315,7 @@ _MERGED = f"""{JOURNAL_SQL.replace("journal AS", "j0 AS")}, {BASE_SQL},
 SELECT CASE WHEN b.path IS NULL THEN 'A' WHEN n.path IS NULL THEN 'D' ELSE 'M' END AS kind, coalesce(b.path, n.path) AS path
 FROM base b FULL JOIN live n ON b.path = n.path WHERE b.path IS NULL OR n.path IS NULL OR b.u_size <> n.size OR b.mtime <> n.mtime""")
 def diff_admn(spark, sf):
-    """M6, J6, J7, U1, U2, U3, L4, A12."""
+    """M6, J6, J7, U1, U2, U3."""
     base = rel.base(spark, sf)
     live = overlay.replay(overlay.with_base(base, rel.journal(spark, sf)))
     return overlay.diff(base, live)
@@ -269,6 +340,26 @@ def rename_checks(spark, sf):
     return overlay.check_renames(materialize(overlay.replay(j), "live"), renames)
 
 
+@query(f"""WITH {_MERGED}
+SELECT l.path, sha256(CASE WHEN born_seq = -1 THEN 'base' ELSE split_part(l.path, '@', 1) || ':' || e.event_type END || (born_seq % 97)) AS content
+FROM live l LEFT JOIN events e ON e.event_id = born_seq""")
+def read_live(spark, sf):
+    """M9: contents in the merged view, of base files, put files and renamed ones; chunks are shared between them."""
+    events, base = table(spark, sf, "events"), rel.base(spark, sf)
+    parts = lambda a, b: F.posexplode(F.array(a, b)).alias("ordinal", "text")
+    who = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    puts = events.where("event_type IN ('signup', 'purchase')").select(
+        F.col("event_id").alias("seq"), who.alias("path"), parts(F.concat(who, F.lit(":"), "event_type"), (F.col("event_id") % 97).cast("string"))
+    )
+    first = base.select(F.lit(-1).cast("long").alias("seq"), "path", parts(F.lit("base"), F.lit("-1")))
+    held = materialize(puts.unionByName(first).select("seq", "path", "ordinal", F.col("text").cast("binary").alias("bytes"), codecs.content_hash(F.col("text").cast("binary")).alias("hash")), "held")
+    payload = held.groupBy("hash").agg(F.first("bytes").alias("bytes"), F.lit(0).alias("codec"))
+    live = overlay.replay(overlay.with_base(base, rel.journal(spark, sf)))
+    read = overlay.read_live(live, held.select("seq", "path", "ordinal", "hash"), payload)
+    whole = read.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "part"))).alias("p"))  # two parts each
+    return whole.select("path", F.sha2(F.concat(F.col("p")[0]["part"], F.col("p")[1]["part"]), 256).alias("content"))
+
+
 @query(f"""WITH {_MERGED} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS logical_bytes, max(mtime) AS last_commit FROM live""")
 def compact_snapshot(spark, sf):
     """M7, A3: a new base from the merged view, written and read again."""
@@ -310,6 +401,29 @@ def owner_scoped_list(spark, sf):
     return owned.select(F.col("o_orderkey").alias("archive_id"), name.alias("name"))
 
 
+@query("""WITH c AS (SELECT o_custkey AS archive_id, o_orderpriority AS label, o_orderdate AS updated_at FROM orders),
+  k AS (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY updated_at DESC, label DESC) AS k FROM c)
+SELECT archive_id, label FROM k WHERE k = 1""")
+def label_upsert(spark, sf):
+    """Labels after all changes, the last write of an archive wins."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("archive_id"), F.col("o_orderpriority").alias("label"), F.col("o_orderdate").alias("updated_at"), "o_orderstatus")
+    return admin.upsert_labels(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'")).select("archive_id", "label")
+
+
+@query("""SELECT c_custkey AS archive_id, CASE WHEN c_nationkey % 2 = 1 THEN c_mktsegment END AS label, CASE WHEN c_acctbal > 0 THEN c_name END AS owner FROM customer""")
+def issue_archives(spark, sf):
+    """M8: new archives; empty strings are no label or owner, ids that exist stay as they are."""
+    c = table(spark, sf, "customer")
+    rows = c.select(
+        F.col("c_custkey").alias("archive_id"),
+        F.when(F.col("c_nationkey") % 2 == 1, F.col("c_mktsegment")).otherwise("").alias("label"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise("").alias("owner"),
+        F.lit("").alias("notes"),
+    )
+    there = admin.issue(rows.limit(0), rows.where(F.col("owner") == ""))
+    return admin.issue(there, rows).select("archive_id", "label", "owner")
+
+
 _USERS = """SELECT c_custkey AS user_id, c_name AS email, c_nationkey AS tenant_id FROM customer WHERE c_acctbal > 0"""
 
 
@@ -370,7 +484,7 @@ def cdc_dedup(spark, sf):
 
 @query()
 def pack_verify(spark, sf):
-    """Chunk, deduplicate, compress and lay out all documents, then verify every hash and size."""
+    """Chunk, deduplicate, compress and lay out all documents, then verify every hash and size."""
     f = rel.files(spark, sf).select(F.concat_ws("/", "archive_id", "path").alias("path"), F.col("text").cast("binary").alias("content"))
     refs, chunks, payload = catalog.pack(chunk_files(f, 1 << 10, 4 << 10, 16 << 10), codecs.encode(F.col("content")))
     refs, chunks = materialize(refs, "refs"), materialize(chunks, "chunks")

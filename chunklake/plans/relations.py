@@ -31,8 +31,8 @@ LIVE_SQL = """acts AS (SELECT *, lag(op) OVER w AS op_before, lag(size) OVER w A
     lead(op) OVER w AS op_after FROM journal WHERE op <> 'note' WINDOW w AS (PARTITION BY path ORDER BY seq)),
   live AS (SELECT path, size, mtime, seq AS born_seq FROM acts WHERE op = 'put' AND op_after IS NULL
     UNION ALL SELECT dst, size_before, mtime_before, seq_before FROM acts WHERE op = 'mv' AND op_before = 'put')"""
-#: base: the snapshot before the journal, users 0 to 79.
-BASE_SQL = "base AS (SELECT DISTINCT 'u' || user_id AS path, CAST(user_id * 10 AS BIGINT) AS u_size, CAST(1000 AS BIGINT) AS mtime FROM events WHERE user_id < 80)"
+#: base: the snapshot before the journal, all users.
+BASE_SQL = "base AS (SELECT DISTINCT 'u' || user_id AS path, CAST(user_id * 10 AS BIGINT) AS u_size, CAST(1000 AS BIGINT) AS mtime FROM events)"
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +82,7 @@ def journal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
-    users = table(spark, sf, "events").where("user_id < 80").select("user_id").distinct()
+    users = table(spark, sf, "events").select("user_id").distinct()
     return users.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"),
         (F.col("user_id") * 10).cast("long").alias("u_size"),
