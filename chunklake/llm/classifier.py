@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunklake.llm.text import LOWER, LOWER_ALNUM, NOT_SPACE, mixed, pieces, slice_hashes, small_batches, words
+from chunklake.session import discard, materialize
 
 #: Hash buckets of the shared weights.
 BUCKETS = 1 << 18
-#: Labelled documents that a model is fitted on at most, the first by a hash of their id.
-FIT_ROWS = 8000
+#: Labelled texts that a model is fitted on at most, the first by a hash of their id, and their features together; one text is taken in any case.
+FIT_ROWS, FIT_FEATURES = 8000, 1 << 24
 
 
 @dataclass
@@ -95,16 +96,22 @@ def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, rounds: int
     return OrdinalModel(weights, theta, grades)
 
 
-def train(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS) -> OrdinalModel:
-    """Fit on at most ``fit_rows`` rated documents. ratings: doc_id, grade (int); null ids or grades are left out.
+def train(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> OrdinalModel:
+    """Fit on at most ``fit_rows`` rated texts of at most ``fit_features`` features together. ratings: doc_id, grade (int); null ids or grades are left out.
 
-    The ids are taken in the order of their hash; features are made in tasks, so the driver gets about
-    fit_rows times a few hundred numbers, whatever the input.
+    Texts are taken in the order of the hashes of their id and themselves, while both bounds hold; features are made in tasks, so the driver
+    gets no more than that, whatever the input. Repeated rows count once, texts that share an id are texts of their own, an id with several
+    grades has the smallest. Null and empty texts have no features. Without rated texts the model has no grades.
     """
     small_batches(docs.sparkSession)
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("grade").cast("long").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    picked = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "text", "grade")
+    rated_docs = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("long"), "text", "grade")
+    rated_docs = rated_docs.withColumns({"_order": F.xxhash64("doc_id"), "_text": F.xxhash64("text")})
+    key = ["_order", "doc_id", "_text"]
+    first = rated_docs.select(*key).distinct().orderBy(*key).limit(fit_rows)
+    once = rated_docs.join(F.broadcast(first), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"), F.first("grade").alias("grade"))
+    picked = once.select("doc_id", "text", "grade", "_order", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in pieces(batches, "text"):
@@ -113,18 +120,23 @@ def train(docs: DataFrame, ratings: DataFrame, fit_rows: int = FIT_ROWS) -> Ordi
             bounds = pa.array(np.searchsorted(r[order], np.arange(len(off))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column(0),
-                    rows.column(2),
+                    *(rows.column(k) for k in (0, 2, 3, 4)),
                     pa.ListArray.from_arrays(bounds, pa.array(c[order].astype(np.int32))),
                     pa.ListArray.from_arrays(bounds, pa.array(v[order].astype(np.float32))),
                 ],
-                ["doc_id", "grade", "cols", "vals"],
+                ["doc_id", "grade", "_order", "_text", "cols", "vals"],
             )
 
-    made = picked.mapInArrow(run, "doc_id long, grade long, cols array<int>, vals array<float>").toArrow()
-    made = made.take(np.lexsort((made["grade"].to_numpy(), made["doc_id"].to_numpy()))).combine_chunks() if len(made) else made
-    if not len(made):
+    kept = materialize(picked.mapInArrow(run, "doc_id long, grade long, _order long, _text long, cols array<int>, vals array<float>"), "fit")
+    sizes = kept.select(*key, F.size("cols").alias("n")).toArrow()
+    if not len(sizes):
         return OrdinalModel(np.zeros(BUCKETS), np.zeros(0), np.zeros(0, np.int64))
+    sizes = sizes.sort_by([(c, "ascending") for c in key])
+    within = int((np.cumsum(sizes["n"].to_numpy()) <= fit_features).sum())
+    last = sizes.slice(max(within, 1) - 1, 1).to_pylist()[0]
+    made = kept.where(F.struct(*key) <= F.struct(*[F.lit(last[c]).cast("long") for c in key])).toArrow()
+    made = made.take(np.lexsort((made["_text"].to_numpy(), made["doc_id"].to_numpy()))).combine_chunks()
+    discard(kept)
     cols, vals = made["cols"].combine_chunks(), made["vals"].combine_chunks()
     if isinstance(cols, pa.ChunkedArray):
         cols, vals = pa.concat_arrays(cols.chunks), pa.concat_arrays(vals.chunks)

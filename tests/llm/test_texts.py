@@ -9,7 +9,7 @@ import pytest
 from helpers import corpus, odd_rows
 from pyspark.sql import functions as F
 
-from chunklake.llm import repeats
+from chunklake.llm import classifier, repeats
 from chunklake.llm.classifier import score, train
 from chunklake.llm.cuts import cut_spans
 from chunklake.llm.decontaminate import contamination, hit_words
@@ -131,6 +131,18 @@ def test_classifier_of_odd_rows(spark):
     assert score(corpus(spark, []), model, 2).collect() == []
 
 
+def test_classifier_fit_is_bounded_by_rows_and_features(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(classifier, "fit", lambda x, y: taken.append((len(y), len(x[0]))))
+    many = [(k % 3, f"text number {k} of an id that many rows share", "en", "web", 1) for k in range(60)]
+    docs = corpus(spark, [*many, *many[:20], (2, "word " * 200_000 + "end", "en", "web", 1)])
+    ratings = spark.createDataFrame([(0, 0), (1, 1), (1, 2), (2, 2)], "doc_id long, grade int")
+    for bounds in ({}, {"fit_rows": 10}, {"fit_features": 300}, {"fit_features": 1}):
+        train(docs, ratings, **bounds)
+    assert [n for n, _ in taken[:2]] == [61, 10]
+    assert 1 < taken[2][0] < 61 and taken[2][1] <= 300 and taken[3][0] == 1
+
+
 def test_lines_keep_the_first_and_leave_short_ones(spark):
     long = "this line has more than ten words in it, does it not, my friend"
     rows = [
