@@ -391,14 +391,39 @@ def dangling_refs(spark, sf):
     return integrity.dangling_refs(rel.refs(spark, sf), rel.chunks(spark, sf).where("id % 50 <> 7")).select("archive_id", "ordinal", "id")
 
 
-@query("""SELECT o_orderkey AS archive_id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, substr('archive-' || o_orderkey, 1, 8)) AS name
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7""")
+@query("""SELECT o_orderkey AS archive_id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, substr('archive-' || o_orderkey, 1, 8)) AS name, n AS chunk_refs
+FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE c_nationkey = 7""")
 def owner_scoped_list(spark, sf):
-    """A tenant's archives with resolved labels."""
-    owned = table(spark, sf, "orders").join(table(spark, sf, "customer").where("c_nationkey = 7"), F.col("o_custkey") == F.col("c_custkey"))
-    own = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority"))
-    name = fn.label_of(own, F.col("o_orderstatus"), F.col("o_orderkey") % 2 != 0, F.concat(F.lit("archive-"), F.col("o_orderkey").cast("string")))
-    return owned.select(F.col("o_orderkey").alias("archive_id"), name.alias("name"))
+    """A tenant's archives with resolved labels and their statistics."""
+    o = table(spark, sf, "orders")
+    named = lambda c: F.concat(F.lit("archive-"), F.col(c).cast("string")).alias("archive_id")
+    archives = o.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        named("o_orderkey"), F.col("c_nationkey").alias("tenant_id"), F.col("o_orderstatus").alias("label"), (F.col("o_orderkey") % 2 != 0).alias("encrypted"), "o_orderkey"
+    )
+    labels = o.where("o_orderkey % 3 = 0").select(named("o_orderkey"), F.col("o_orderpriority").alias("label"), F.col("o_orderdate").alias("updated_at"))
+    stats = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("chunk_refs")).select(named("l_orderkey"), "chunk_refs")
+    return admin.list_archives(archives, labels, stats, 7).select(F.col("o_orderkey").alias("archive_id"), "name", "chunk_refs")
+
+
+@query(f"""WITH {FILES_SQL}, o AS (SELECT path, doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'a/b' WHEN 2 THEN '..' || doc_id ELSE 'v' || doc_id END AS name,
+  CASE WHEN doc_id % 5 <> 0 THEN {rel.NOW} + (doc_id % 5) * 20 END AS expires_at FROM files)
+SELECT path, name, name <> '' AND NOT contains(name, '/') AND NOT contains(name, '..') AS safe, CASE WHEN path LIKE 'en/%' OR path LIKE 'de/%' THEN substr(path, 4) ELSE path END AS relative,
+  ltrim('//' || path, '/') AS bare, expires_at, {rel.NOW} + 50 >= expires_at - 30 AS expired, left(path, 4) AS preview FROM o""")
+def path_and_token_rules(spark, sf):
+    """Relative paths, archive ids, expiry and previews."""
+    p, k = F.col("path"), F.col("doc_id")
+    name = F.when(k % 4 == 0, "").when(k % 4 == 1, "a/b").when(k % 4 == 2, F.concat(F.lit(".."), k.cast("string"))).otherwise(F.concat(F.lit("v"), k.cast("string")))
+    expires = fn.expires_at(F.lit(rel.NOW), k % 5 * 20)
+    return rel.files(spark, sf).select(
+        "path",
+        name.alias("name"),
+        fn.is_safe_archive_id(name).alias("safe"),
+        fn.relative_to(p, ["en", "de/"]).alias("relative"),
+        fn.without_leading_slashes(F.concat(F.lit("//"), p)).alias("bare"),
+        expires.alias("expires_at"),
+        fn.is_expired(expires, F.lit(rel.NOW + 50)).alias("expired"),
+        fn.preview_text(p.cast("binary"), 4).alias("preview"),
+    )
 
 
 @query("""WITH c AS (SELECT o_custkey AS archive_id, o_orderpriority AS label, o_orderdate AS updated_at FROM orders),
@@ -432,7 +457,7 @@ _USERS = """SELECT c_custkey AS user_id, c_name AS email, c_nationkey AS tenant_
 SELECT key_hash, user_id, email, tenant_id, n_name AS tenant FROM k JOIN u USING (user_id) JOIN nation ON n_nationkey = tenant_id
 WHERE NOT revoked AND (expires_at IS NULL OR expires_at > {rel.NOW})""")
 def live_tokens(spark, sf):
-    """P19, P20, J9, F17, F26."""
+    """P19, P20, J9, F17."""
     o = table(spark, sf, "orders")
     keys = o.select(
         F.sha2(F.concat(F.lit("key-"), F.col("o_orderkey").cast("string")), 256).alias("key_hash"),
@@ -449,7 +474,7 @@ def live_tokens(spark, sf):
 @query(f"""WITH {FILES_SQL} SELECT path, path NOT LIKE '%../%' AND NOT starts_with(path, '/') AS safe,
   octet_length(encode(trim(archive_id))) BETWEEN 1 AND 128 AS labelled, regexp_extract(path, '[^/]*$') AS name FROM (SELECT CASE doc_id % 4 WHEN 0 THEN '/' ELSE '' END || CASE doc_id % 3 WHEN 0 THEN '../' ELSE '' END || path AS path, archive_id FROM files)""")
 def path_safety(spark, sf):
-    """P14, P15, P16, F14, F29, F32."""
+    """P14, P16, F29, F32."""
     f = rel.files(spark, sf)
     odd = F.concat(F.when(F.col("doc_id") % 4 == 0, "/").otherwise(""), F.when(F.col("doc_id") % 3 == 0, "../").otherwise(""), F.col("path"))
     return f.select(odd.alias("path"), fn.is_safe_to_extract(odd).alias("safe"), fn.is_valid_label(F.col("archive_id")).alias("labelled"), fn.basename(odd).alias("name"))
