@@ -162,3 +162,21 @@ def test_streamed_uploads_out_of_order(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("uploads").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.stream_id, r.path, bytes(r.content)) for r in spark.table("uploads").collect()} == want
+
+
+def test_live_content_follows_puts_renames_and_the_base(spark):
+    base = spark.createDataFrame([("a", 4, 1, 0), ("b", 2, 1, 0), ("gone", 2, 1, 0)], "path string, u_size long, mtime long, mode long")
+    first = spark.createDataFrame([(-1, "a", 0, b"ol"), (-1, "a", 1, b"da"), (-1, "b", 0, b"xx"), (-1, "gone", 0, b"zz")], "seq long, path string, ordinal long, bytes binary")
+    stored = first.withColumns({"hash": codecs.content_hash(F.col("bytes")), "codec": F.lit(0)})
+    new = spark.createDataFrame([("b", 0, b"ne", 5, 0), ("b", 1, b"ol", 5, 0), ("c", 0, b"", 5, 0)], "path string, ordinal long, content binary, mtime long, mode long")
+    records, refs, fresh = overlay.put(new, stored.select("hash"), 10)
+    assert sorted((r.seq, r.path, r["size"]) for r in records.collect()) == [(10, "b", 4), (11, "c", 0)]
+    assert sorted(bytes(r.bytes) for r in fresh.collect()) == [b"", b"ne"]
+    moves = spark.createDataFrame([(1, "mv", "a", "moved"), (2, "rm", "gone", None), (20, "mv", "c", "a")], "seq long, op string, path string, dst string")
+    live = overlay.replay(overlay.with_base(base, records.unionByName(moves, allowMissingColumns=True)))
+    payload = stored.select("hash", "codec", "bytes").unionByName(fresh)
+    every = stored.select("seq", "path", "ordinal", "hash").unionByName(refs.select("seq", "path", "ordinal", "hash"))
+    got: dict[str, bytes] = {}
+    for r in sorted(overlay.read_live(live, every, payload).collect()):
+        got[r.path] = got.get(r.path, b"") + bytes(r.part)
+    assert got == {"moved": b"olda", "b": b"neol", "a": b""}
